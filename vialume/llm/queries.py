@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vialume.llm import op1_license, op2_warc, op3_jpeg, op4_sharding, op5_sentencepiece, op6_mixing, op7_substring, op8_quality, op9_token_counts
+from vialume.llm import op1_license, op2_warc, op3_jpeg, op4_sharding, op5_sentencepiece, op6_mixing, op7_substring, op8_quality, op9_token_counts, op10_jaccard
 from vialume.session import ship
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -52,6 +52,10 @@ def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_counts.section_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_archive, op3_jpeg_media, op4_bounded_ring, op5_sentencepiece_digests, op6_curriculum_mix, op7_substring_dedup, op8_perplexity_rules, op9_section_tokens)}
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_jaccard.linked(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_archive, op3_jpeg_media, op4_bounded_ring, op5_sentencepiece_digests, op6_curriculum_mix, op7_substring_dedup, op8_perplexity_rules, op9_section_tokens, op10_jaccard_components)}
 
 SQL: dict[str, str] = {"op1_license_scan": op1_license.scan_sql(), "op6_curriculum_mix": op6_mixing.mix_sql()}

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Rows handled at once.
+SLICE_ROWS = 1 << 13
 
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -79,8 +81,9 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, lo + SLICE_ROWS, n)
+        yield lo, hi
+        lo = hi
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
