@@ -287,6 +287,25 @@ def token_digests(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_digests(model), SCHEMA)
 
 
+def _id_lists(model: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = piece_table(model)
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            for lo, hi, data, offsets in spans(batch, most=TOGETHER):
+                found = [(n, np.array(joined.split(b","), dtype=np.int32) if n else np.zeros(0, np.int32), hashlib.sha256(decoded).hexdigest()) for n, joined, decoded in table.described(data, offsets)]
+                n, lists, texts = zip(*found, strict=True)
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), flat, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "token_ids", "decoded_sha256"])
+
+    return run
+
+
+def token_ids(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, decoded_sha256) per row of ``docs`` (doc_id, text)."""
+    return docs.select("doc_id", "text").mapInArrow(_id_lists(model), "doc_id long, n_tokens long, token_ids array<int>, decoded_sha256 string")
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` with the ids of its texts as ``token_ids`` (array of int); other columns stay as they are."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "token_ids"]
