@@ -1,0 +1 @@
+"""Streaming entry points. The engine's operators are batch operators; this package is a placeholder for sources that deliver edges as a stream."""
