@@ -16,7 +16,7 @@ Groups are hash ranges (32 a shuffle partition), never one prefix's documents. T
 share that exchange. Nothing is collected.
 
 Null texts have no words. Null doc_ids come before all others. Rows with the same doc_id and text occupy the same places,
-so neither removes the other; rows with the same doc_id and other texts are ordered by the texts' hashes. Empty tables
+so neither removes the other; rows with the same doc_id and other texts are ordered by the texts' 32-bit hashes. Empty tables
 give empty results. Further columns stay as they are in ``dedup`` and are ignored in ``digests``.
 """
 
@@ -42,19 +42,31 @@ def _groups(df: DataFrame) -> int:
 
 
 def _blobs(group: np.ndarray, n: int, arrays: list[np.ndarray]) -> tuple[pa.Array, list[pa.Array]]:
-    """Rows of arrays that are sorted by group, as one binary value for each group that occurs and array."""
+    """Rows of arrays that are sorted by group, as one binary value for each group that occurs and array.
+
+    The bytes of signed numbers are stored plane by plane, so that the shuffle's compression sees their zeros.
+    """
     cuts = np.searchsorted(group, np.arange(n + 1))
     some = np.flatnonzero(np.diff(cuts))
-    lo, hi = cuts[some], cuts[some + 1]
+    ranges = list(zip(cuts[some].tolist(), cuts[some + 1].tolist(), strict=True))
     out = []
     for a in arrays:
-        raw, w = np.ascontiguousarray(a).tobytes(), a.dtype.itemsize
-        out.append(pa.array([raw[i * w : j * w] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()))
+        a = np.ascontiguousarray(a)
+        if a.dtype.kind == "i":
+            planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize)
+            out.append(pa.array([planes[i:j].T.tobytes() for i, j in ranges], pa.binary()))
+        else:
+            raw, w = a.tobytes(), a.dtype.itemsize
+            out.append(pa.array([raw[i * w : j * w] for i, j in ranges], pa.binary()))
     return pa.array(some, pa.int32()), out
 
 
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+    kind, values = np.dtype(kind), column.to_pylist()
+    if kind.kind != "i":
+        return np.frombuffer(b"".join(values), dtype=kind)
+    parts = [np.frombuffer(v, dtype=np.uint8).reshape(kind.itemsize, -1).T for v in values]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.zeros(0, kind)
 
 
 class Suffixes:
@@ -116,7 +128,7 @@ def _prefixes(n: int, window: int):
 
 
 def _repeated_prefixes(table: pa.Table) -> pa.Table:
-    h, key, variant, often = (_joined(table.column(c), k) for c, k in (("h", np.uint64), ("key", np.int64), ("variant", np.int64), ("often", bool)))
+    h, key, variant, often = (_joined(table.column(c), k) for c, k in (("h", np.uint64), ("key", np.int64), ("variant", np.int32), ("often", bool)))
     order = np.argsort(h, kind="stable")
     h = h[order]
     same = h[1:] == h[:-1]
@@ -129,7 +141,7 @@ def _repeated_prefixes(table: pa.Table) -> pa.Table:
     h, key, variant = h[order], key[order], variant[order]
     edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (variant[1:] != variant[:-1]))) if len(h) else np.zeros(0, np.int64)
     raw, ends = h.tobytes(), np.append(edge, len(h))[1:]
-    return pa.table([pa.array(key[edge], pa.int64()), pa.array(variant[edge], pa.int64()), pa.array([raw[i * 8 : j * 8] for i, j in zip(edge.tolist(), ends.tolist(), strict=True)], pa.binary())], ["of", "of_variant", "prefixes"])
+    return pa.table([pa.array(key[edge], pa.int64()), pa.array(variant[edge], pa.int32()), pa.array([raw[i * 8 : j * 8] for i, j in zip(edge.tolist(), ends.tolist(), strict=True)], pa.binary())], ["of", "of_variant", "prefixes"])
 
 
 def _windows(n: int, window: int):
@@ -167,25 +179,24 @@ def _settle(h, k, v, start, n: int | None) -> Iterator[pa.RecordBatch]:
     raw, ends = rs.tobytes(), np.append(edge, len(rk))[1:]
     starts = pa.array([raw[i * 4 : j * 4] for i, j in zip(edge.tolist(), ends.tolist(), strict=True)], pa.binary())
     if n is None:
-        yield pa.RecordBatch.from_arrays([pa.array(rk[edge], pa.int64()), pa.array(rv[edge], pa.int64()), starts], ["of", "of_variant", "starts"])
+        yield pa.RecordBatch.from_arrays([pa.array(rk[edge], pa.int64()), pa.array(rv[edge], pa.int32()), starts], ["of", "of_variant", "starts"])
         return
     none = lambda m: pa.nulls(m, pa.binary())
     group = pa.array(_group_of(mix(rk[edge].astype(np.uint64)), n), pa.int32())
-    yield pa.RecordBatch.from_arrays([group, pa.array(rk[edge], pa.int64()), pa.array(rv[edge], pa.int64()), starts, *[none(len(edge))] * 3], WINDOW_NAMES)
+    yield pa.RecordBatch.from_arrays([group, pa.array(rk[edge], pa.int64()), pa.array(rv[edge], pa.int32()), starts, *[none(len(edge))] * 3], WINDOW_NAMES)
     h, k, v, start = h[first], k[first], v[first], start[first]
     group, (h, k, v, start) = _blobs(_group_of(h, n), n, [h, k, v, start])
-    empty = pa.nulls(len(group), pa.int64())
-    yield pa.RecordBatch.from_arrays([group, empty, empty, start, h, k, v], WINDOW_NAMES)
+    yield pa.RecordBatch.from_arrays([group, pa.nulls(len(group), pa.int64()), pa.nulls(len(group), pa.int32()), start, h, k, v], WINDOW_NAMES)
 
 
 WINDOW_NAMES = ["group", "of", "of_variant", "starts", "h", "k", "v"]
-WINDOW_SCHEMA = "group int, of long, of_variant long, starts binary, h binary, k binary, v binary"
+WINDOW_SCHEMA = "group int, of long, of_variant int, starts binary, h binary, k binary, v binary"
 
 
 def _nodes(table: pa.Table) -> pa.Table:
     entry = pa.compute.is_valid(table.column("h"))
     done, open_ = table.filter(pa.compute.invert(entry)), table.filter(entry)
-    h, k, v, start = (_joined(open_.column(c), t) for c, t in (("h", np.uint64), ("k", np.int64), ("v", np.int64), ("starts", np.int32)))
+    h, k, v, start = (_joined(open_.column(c), t) for c, t in (("h", np.uint64), ("k", np.int64), ("v", np.int32), ("starts", np.int32)))
     order = np.lexsort((start, v, k, h))
     names = ["of", "of_variant", "starts"]
     return pa.concat_tables([done.select(names), pa.Table.from_batches(list(_settle(h[order], k[order], v[order], start[order], None)))])
@@ -237,13 +248,13 @@ def _kept(window: int, digest: bool):
 def _marked(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` with key, variant and the starts of their repeats; all texts go through one exchange."""
     n = _groups(docs)
-    docs = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64("text").alias("variant"))
+    docs = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.hash("text").alias("variant"))
     prefixes = docs.select("key", "variant", "text").mapInArrow(_prefixes(n, window), "group int, h binary, key binary, variant binary, often binary")
-    found = prefixes.groupBy("group").applyInArrow(_repeated_prefixes, "of long, of_variant long, prefixes binary")
+    found = prefixes.groupBy("group").applyInArrow(_repeated_prefixes, "of long, of_variant int, prefixes binary")
     found = found.groupBy("of", "of_variant").agg(F.collect_list("prefixes").alias("prefixes"))
     here = (F.col("key") == F.col("of")) & (F.col("variant") == F.col("of_variant"))
-    windows = docs.join(found.hint("shuffle_merge"), here).select("key", "variant", "text", "prefixes").mapInArrow(_windows(n, window), WINDOW_SCHEMA)
-    repeats = windows.groupBy("group").applyInArrow(_nodes, "of long, of_variant long, starts binary")
+    windows = docs.join(found.hint("shuffle_merge"), here).select(*docs.columns, "prefixes").mapInArrow(_windows(n, window), WINDOW_SCHEMA)
+    repeats = windows.groupBy("group").applyInArrow(_nodes, "of long, of_variant int, starts binary")
     repeats = repeats.groupBy("of", "of_variant").agg(F.collect_list("starts").alias("repeats"))
     return docs.join(repeats.hint("shuffle_merge"), here, "left")
 
