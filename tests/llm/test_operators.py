@@ -1,0 +1,411 @@
+"""Text operators against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+import public_tokenizers
+import sentencepiece
+from pyspark.sql import functions as F
+
+from vialume.llm import op1_license, op2_warc, op3_jpeg, op4_sharding, op5_sentencepiece, op6_mixing, op7_substring, op8_quality, op9_token_counts, op10_jaccard
+from vialume.llm.graph import components
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, rank long, copies int, variant string, n_words int, group int"
+
+
+def words(text):
+    return WORD.findall((text or "").encode())
+
+
+def some_texts() -> list:
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdeéß日x#|") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage, body = make(60), make(100)
+    near = body.split()
+    near[50] = "changed"
+    return [
+        None, "", " \n\t ", "a", "a b", "A  B", "a b c", body, body, " ".join(near), make(30) + " " + passage + " " + make(30), passage + "\n" + make(25), make(10) + " " + passage,
+        "the end " * 200, "line one\nline one\n\nline one \nline two " + make(30), make(20000), "x" * 5000, "Released under the MIT License.\nAll rights reserved. " + make(40), body.upper(), "�  mixed \x00 nul " + make(20),
+    ]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    texts = some_texts()
+    out = [(k * 3 % 23, t, ["en", None, "de"][k % 3], [None, "s2", "s10", "é"][k % 4]) for k, t in enumerate(texts)]
+    return [*out, out[7], out[7], out[10], (None, texts[7], None, None), (None, None, "en", "s2")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, 1, "k", 2, 3, 4, "v", 5, 6) for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_license(spark, docs, none):
+    got = op1_license.scan(docs).toPandas()
+    assert len(got) == docs.count() and op1_license.scan(none).count() == 0
+    assert got[got.licenses == "MIT"].sentence_ids.tolist() == ["<mit-ref><reserved>"]
+    full = " ".join(s.replace(" ", " ") + "." for i, s in op1_license.SENTENCES if i in ("bsd-intro", "bsd-source", "bsd-binary", "bsd-endorse"))
+    two = spark.createDataFrame([(1, full + "\nLicensed under the Apache License, Version 2.0.", "x"), (2, full.rpartition("neither")[0], "x")], "doc_id long, text string, found string")
+    assert sorted(map(tuple, op1_license.scan(two).select("doc_id", "licenses", "n_unmatched").collect())) == [(1, "BSD-3-Clause,Apache-2.0", 0), (2, "BSD-2-Clause", 0)]
+    pdf = docs.toPandas()
+    con = duckdb.connect()
+    con.register("documents", pdf)
+    theirs = con.sql(op1_license.scan_sql()).df()
+    plain = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(str).itertuples(index=False)))
+    ours = got.assign(doc_id=got.doc_id.astype("Float64").astype(str))
+    theirs = theirs.assign(doc_id=theirs.doc_id.astype("Float64").astype(str))
+    assert plain(ours) == plain(theirs)
+
+
+def test_warc(spark):
+    html = ["<p>é</p>", None, "", "<p>é</p>", "x" * 100_000, "<p>é</p>", "new\r\n\r\nWARC-Type: revisit\r\n"]
+    rows = [(k * 5 % 7, f"http://a/{k}\r\nX: y", h, "clash") for k, h in enumerate(html)] + [(None, None, "solo", "c"), (9, "u", "twin", "c"), (9, "u", "twin", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
+    path = op2_warc.write_archive(pages)
+    assert spark.read.parquet(path + "/payloads").count() == len({h or "" for _, _, h, _ in rows})
+    got = op2_warc.parse(op2_warc.restore(spark, path)).toPandas()
+    largest = defaultdict(lambda: -1)
+    for i, _, h, _ in rows:
+        largest[h or ""] = max(largest[h or ""], -1 if i is None else i)
+    expected = []
+    for i, _, h, _ in rows:
+        b, m = (h or "").encode(), largest[h or ""]
+        first = i is None or i == m
+        expected.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else m))
+    ours = [(None if r.page_id != r.page_id else int(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, None if r.refers_to != r.refers_to else int(r.refers_to)) for r in got.itertuples()]
+    assert sorted(map(repr, ours)) == sorted(map(repr, expected))
+    record = op2_warc.restore(spark, path).filter(F.octet_length("payload") == 100_000).collect()[0]["record"]
+    head, _, body = bytes(record).partition(b"\r\n\r\n")
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"Content-Length: 100000" in head and body == b"x" * 100_000 + b"\r\n\r\n"
+    small = op2_warc.parse(op2_warc.restore(spark, op2_warc.write_archive(pages, least_bytes=50))).toPandas()
+    assert (small.record_type == "response").all()
+    assert op2_warc.parse(op2_warc.restore(spark, op2_warc.write_archive(pages.limit(0)))).count() == 0
+
+
+def test_jpeg(docs, none, rows):
+    got = op3_jpeg.media_features(op3_jpeg.store_texts(docs)).toPandas()
+    expected = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        p = b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))
+        expected.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+    ours = [(None if r.doc_id != r.doc_id else int(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got.itertuples()]
+    assert sorted(map(repr, ours)) == sorted(map(repr, expected))
+    assert op3_jpeg.media_features(op3_jpeg.store_texts(none)).count() == 0
+
+
+def _scalar_jpeg(blocks: np.ndarray, across: int, parts: int, interval: int) -> bytes:
+    """A plain encoder with run lengths, end-of-block codes and DC prediction; codes of all symbols are 8 bits, and differ by table."""
+    order, bits, out = [0] if parts == 1 else [0, 0, 0, 0, 1, 2], "", bytearray()
+    symbols = [s for s in range(256) if (s & 15) < 11]
+    code = {s: format(k, "08b") for k, s in enumerate(symbols)}
+    dc_code = {s: format(k, "04b") for k, s in enumerate(range(12))}
+    table = bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols)
+    dc_table = bytes([0] * 3 + [12] + [0] * 12) + bytes(range(12))
+
+    def value(v):
+        size = abs(v).bit_length()
+        return size, format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        for k in range(0, len(bits), 8):
+            byte = int(bits[k : k + 8], 2)
+            out.append(byte)
+            if byte == 255:
+                out.append(0)
+        bits = ""
+
+    last = [0, 0, 0]
+    mcus = len(blocks) // len(order)
+    for m in range(mcus):
+        if interval and m and m % interval == 0:
+            flush()
+            out += bytes([255, 0xD0 + (m // interval - 1) % 8])
+            last = [0, 0, 0]
+        for j, part in enumerate(order):
+            b = blocks[m * len(order) + j]
+            size, raw = value(int(b[0]) - last[part])
+            last[part] = int(b[0])
+            bits += dc_code[size] + raw
+            run = 0
+            for k in range(1, 64):
+                if b[k] == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits += code[0xF0]
+                    run -= 16
+                size, raw = value(int(b[k]))
+                bits += code[run << 4 | size] + raw
+                run = 0
+            if run:
+                bits += code[0]
+    flush()
+    unit = 8 if parts == 1 else 16
+    frame = b"\x08" + (mcus // across * unit).to_bytes(2, "big") + (across * unit).to_bytes(2, "big") + bytes([parts]) + (b"\x01\x11\x00" if parts == 1 else b"\x01\x22\x00\x02\x11\x00\x03\x11\x00")
+    scan = bytes([parts]) + b"".join(bytes([k + 1, 0]) for k in range(parts)) + b"\x00\x3f\x00"
+    m = op3_jpeg._marker
+    return b"\xff\xd8" + m(0xE0, b"JFIF") + m(0xDB, b"\x00" + bytes([4] * 64)) + m(0xC0, frame) + m(0xC4, b"\x00" + dc_table) + m(0xC4, b"\x10" + table) + (m(0xDD, interval.to_bytes(2, "big")) if interval else b"") + m(0xDA, scan) + bytes(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("parts", "interval"), [(1, 0), (1, 3), (3, 0), (3, 2)])
+def test_jpeg_reads_general_files(parts, interval):
+    rng = np.random.default_rng(parts + interval)
+    per = 1 if parts == 1 else 6
+    b = rng.integers(-200, 200, (8 * per, 64)) * (rng.random((8 * per, 64)) < 0.1)
+    b[0, 1:] = 0
+    b[1, 1:] = 0
+    b[1, 63] = 7
+    frame, found = op3_jpeg.read_files([_scalar_jpeg(b, 4, parts, interval)])[0]
+    assert (found == b).all() and frame.mcus == (4, 2)
+    small = op3_jpeg.thumbnail(frame, found)
+    assert small.shape == ((2, 4) if parts == 1 else (4, 8))
+    assert small[0, 0] == np.clip((b[0, 0] * 4 + 4 >> 3) + 128, 0, 255)
+    with pytest.raises(ValueError):
+        op3_jpeg.parse_markers(b"no")
+
+
+def test_large_image_is_padded():
+    payload = np.frombuffer(b"\xff\x00ab" * (192 * 9000 // 4), dtype=np.uint8)
+    f = op3_jpeg.encode_files(payload, np.array([len(payload)]))
+    frame, c = op3_jpeg.read_files(f)[0]
+    assert op3_jpeg.payload_of(frame, c) == payload.tobytes() and frame.height < 65536
+
+
+def test_sharding(docs, none, rows, spark):
+    for shards in (3, 40):
+        got = op4_sharding.assign(docs, shards, 16).toPandas()
+        n = got.groupby("shard").size()
+        assert len(got) == len(rows) and n.max() - (n.min() if len(n) == shards else 0) <= 1
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    expected = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.size, r.text_crc32) for r in got.itertuples()) == expected
+    assert op4_sharding.assign(none).count() == 0
+
+
+def test_sharding_is_the_ring_walk():
+    """Key by key clockwise: a shard takes what fits, and only overflow moves on."""
+    rng, shards, vnodes = random.Random(1), 7, 16
+    counts = {c: rng.randint(1, 30) for c in rng.sample(range(op4_sharding.CELLS), 200)}
+    counts[5] = 4000
+    pieces = op4_sharding.solve(counts, shards, vnodes)
+    load = Counter()
+    for c, lo, hi, s, first in pieces:
+        assert first == load[s]
+        load[s] += hi - lo
+    total = sum(counts.values())
+    assert sorted(load.values()) == sorted(total // shards + (s < total % shards) for s in range(shards))
+    for c, n in counts.items():
+        own = sorted(p[1:3] for p in pieces if p[0] == c)
+        assert own[0][0] == 0 and own[-1][1] == n and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    nodes = op4_sharding.ring(shards, vnodes)
+    home = lambda c: next((s for at, s in nodes if at >= c), nodes[0][1])
+    moved = sum(hi - lo for c, lo, hi, s, _ in pieces if s != home(c))
+    natural = Counter()
+    for c, n in counts.items():
+        natural[home(c)] += n
+    assert moved >= sum(max(0, n - total // shards - 1) for n in natural.values())
+
+
+def test_sentencepiece(docs, none, rows):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = Counter(map(tuple, op5_sentencepiece.token_digests(docs, MODEL).collect()))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    expected = Counter((i, len(ids := sp.encode(t or "")), sha(",".join(map(str, ids))), sha(sp.decode(ids))) for i, t, *_ in rows)
+    assert got == expected and op5_sentencepiece.token_digests(none, MODEL).count() == 0
+    back = op5_sentencepiece.decode(op5_sentencepiece.encode(docs, MODEL), MODEL)
+    assert all((r["text"] or "") == r["decoded"] for r in back.collect())
+    assert {r["doc_id"]: list(r["token_ids"]) for r in op5_sentencepiece.token_ids(docs.filter("doc_id = 9"), MODEL).collect()} == {9: sp.encode(rows[3][1])}
+
+
+def test_sentencepiece_random_text():
+    sp, table = sentencepiece.SentencePieceProcessor(model_file=MODEL), op5_sentencepiece.piece_table(MODEL)
+    rng = random.Random(8)
+    chars = [*list(table.chars)[:800], *"abcdefghijklmnopqrstuvwxyz       \n\t=-.▁\U0001f600͸" * 20]
+    for _ in range(1500):
+        t = "".join(rng.choice(chars) for _ in range(rng.randint(0, 120)))
+        assert table.encode(t) == sp.encode(t) and table.decode(sp.encode(t)) == sp.decode(sp.encode(t))
+
+
+def test_mixing(docs, none, rows, spark):
+    got = op6_mixing.mix(docs).toPandas()
+    assert len(got) == len(rows) and op6_mixing.mix(none).count() == 0
+    size = Counter()
+    for _, t, _, s in rows:
+        size[s] += len(words(t))
+    total, order = sum(size.values()), sorted((s for s in size if s is not None)) + ([None] if None in size else [])
+    weight, target = {s: k % 3 + 1 for k, s in enumerate(order)}, {}
+    open_, left = set(order), float(total)
+    while True:
+        w = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / w > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            open_.remove(s)
+        left = total - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    assert sorted(set(np.round(got.target, 6))) == sorted(set(np.round(list(target.values()), 6)))
+    assert (got.taken <= 3 * got["size"]).all()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    theirs = con.sql(op6_mixing.mix_sql()).df()
+    assert sorted(zip(got["size"], got.taken, got.target.round(6))) == sorted(zip(theirs["size"], theirs.taken, theirs.target.round(6)))
+    assert op6_mixing.mixed(docs).columns == docs.columns
+    again = op6_mixing.mix(docs.repartition(5)).toPandas()
+    assert sorted(zip(got["size"], got.taken)) == sorted(zip(again["size"], again.taken))
+
+
+def _dedup(rows, window):
+    ids = sorted({(-(1 << 63) if i is None else i) for i, *_ in rows})
+    by = defaultdict(set)
+    for i, t, *_ in rows:
+        by[-(1 << 63) if i is None else i].add(t)
+    return ids, by
+
+
+def test_substring(docs, none, rows, spark):
+    unique = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            unique.setdefault(i, t)
+    frame = spark.createDataFrame([(i, t, "x") for i, t in unique.items()] + [(i, t, "y") for i, t in list(unique.items())[:3]], "doc_id long, text string, key string")
+    for window in (20, 8):
+        first, expected = {}, {}
+        for i in sorted(unique):
+            w = words(unique[i])
+            keep = [True] * len(w)
+            for k in range(len(w) - window + 1):
+                if first.setdefault(tuple(w[k : k + window]), (i, k)) != (i, k):
+                    keep[k : k + window] = [False] * window
+            expected[i] = (len(w), keep.count(False), hashlib.sha256(b" ".join(x for x, y in zip(w, keep) if y)).hexdigest())
+        if window == 20:
+            got = op7_substring.digests(frame, window).collect()
+            assert len(got) == frame.count() and all((r["n_words"], r["n_removed"], r["kept_sha256"]) == expected[r["doc_id"]] for r in got)
+    assert op7_substring.digests(none).count() == 0 and op7_substring.digests(docs).count() == len(rows)
+    out = op7_substring.dedup(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    kept = {r["doc_id"]: r["text"] for r in op7_substring.dedup(frame).collect()}
+    assert all(kept[i] == t for i, t in unique.items() if expected is not None and len(words(t)) < 20)
+
+
+def test_quality(docs, none, rows):
+    got = op8_quality.rules(docs).toPandas()
+    assert len(got) == len(rows) and op8_quality.rules(none).count() == 0
+    expected = []
+    for i, t, *_ in rows:
+        w, seen, covered, lines, dup = words(t), defaultdict(list), set(), set(), 0
+        for k in range(len(w) - 7):
+            seen[tuple(w[k : k + 8])].append(k)
+        for at in seen.values():
+            if len(at) > 1:
+                covered.update(j for k in at for j in range(k, k + 8))
+        for line in (t or "").encode().split(b"\n"):
+            dup += bool(WORD.search(line)) and line in lines
+            lines.add(line)
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        expected.append((i, len(w), sum(len(x.decode()) for x in w), sum(c in op8_quality.SYMBOLS for c in t or ""), dup, len(covered), failed))
+    ours = [(None if r.doc_id != r.doc_id else int(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got.itertuples()]
+    assert sorted(map(repr, ours)) == sorted(map(repr, expected))
+    assert not (got.kept & got.base_failed).any()
+    assert op8_quality.filter_documents(docs).columns == docs.columns and op8_quality.filter_documents(docs).count() == got.kept.sum()
+
+
+def test_kneser_ney_is_a_distribution():
+    texts = ["banana bandana", "bananas and bandits", "", "abracadabra"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    grams = op8_quality.packed_trigrams(data, np.cumsum([0, *map(len, texts)]))
+    seen, n = np.unique(grams, return_counts=True)
+    model = op8_quality.kneser_ney(seen, n)
+    for context in (b"an", b"zz", b"qa", b"\n\n"):
+        x = (np.uint32(context[0]) << 16 | np.uint32(context[1]) << 8) + np.arange(256, dtype=np.uint32)
+        assert abs(np.exp(model.log_prob(x.astype(np.uint32))).sum() - 1) < 1e-5
+    assert grams[0] == 10 << 16 | 10 << 8 | ord("b")
+
+
+def test_token_counts(docs, none, rows):
+    enc, length = op9_token_counts.encoding(RANKS, public_tokenizers.PATTERN)
+    for rule in op9_token_counts.RULES:
+        got = op9_token_counts.section_tokens(docs, RANKS, public_tokenizers.PATTERN, rule).toPandas()
+        total = sum(len(enc.encode_ordinary(t)) for _, t, *_ in rows if t)
+        assert abs(got.n_tokens.sum() - total) < 1e-6
+    assert op9_token_counts.section_tokens(none, RANKS, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        op9_token_counts.section_tokens(docs, RANKS, public_tokenizers.PATTERN, "other")
+    ends, borders = np.array([3, 8, 10]), np.array([0, 4, 7, 10])
+    assert op9_token_counts.allocate(ends, borders, "first")[0].tolist() == [2, 0, 1]
+    assert op9_token_counts.allocate(ends, borders, "most")[0].tolist() == [1, 1, 1]
+    assert np.allclose(op9_token_counts.allocate(ends, borders, "split")[0], [1.2, 0.6, 1.2])
+    assert op9_token_counts.allocate(ends, borders, "first")[1].tolist() == [1, 0, 0]
+
+
+def _components(rows, k, percent):
+    fold = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t, *_ in rows:
+        w = [x.translate(fold) for x in words(t)]
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                root[find(x)] = find(y)
+    least = defaultdict(list)
+    for x, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(x)].append(r[0])
+    return [(r[0], len(sets[x]), (min(least[find(x)]) if least[find(x)] else None) if sets[x] else r[0]) for x, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("percent", "few"), [(90, 16), (60, 2)])
+def test_jaccard(docs, none, rows, spark, monkeypatch, percent, few):
+    if few == 2:
+        monkeypatch.setattr(op10_jaccard, "BLOCK", 3)
+        monkeypatch.setattr(op10_jaccard, "UNIT_CLASSES", 2)
+    rng, base = random.Random(6), [f"w{k}" for k in range(60)]
+    family = [[w if rng.random() > 0.02 else "odd" for w in base] for _ in range(25)]
+    more = [*rows, *((100 + k, " ".join(f), None, None) for k, f in enumerate(family))]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t, *_ in more], "doc_id long, text string, n int, key int")
+    got = op10_jaccard.linked(frame, 3, percent, few).collect()
+    assert Counter(map(tuple, got)) == Counter(_components(more, 3, percent))
+    if few != 2:
+        assert op10_jaccard.linked(none).count() == 0
+        kept = op10_jaccard.representatives(docs)
+        assert kept.columns == docs.columns
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7), (100, 101)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 103: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

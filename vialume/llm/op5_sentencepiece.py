@@ -30,6 +30,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vialume.llm.text import span_hashes, spans
 
@@ -317,7 +318,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             ids = [table.encode(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "token_ids"])
 
-    schema = docs.schema.add("token_ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(run, schema)
 
 
@@ -332,4 +333,4 @@ def decode(tokens: DataFrame, model: str) -> DataFrame:
             texts = [table.decode(t or []) for t in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return tokens.mapInArrow(run, tokens.schema.add("decoded", "string"))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
