@@ -6,11 +6,11 @@ A document's set holds its distinct ``shingle``-word n-grams (A-Z lower-cased, 4
 1. Classes. Documents with equal sets (128-bit digest) are one class; everything below works on classes.
 2. Prefixes. n-grams are ordered rare first, by their count over all documents in a table of 2^18 hashed counters (2 MB,
    whatever the corpus), then by hash. Linked sets share one of their first ``n - ceil(percent n) + 1`` n-grams.
-3. Candidates. Classes meet at the n-grams of their prefixes, in groups of hash ranges. At n-grams with few classes all
-   pairs are taken that pass the length and positional filters; then 1024-bit parity sketches, whose distance never
-   exceeds the sets' difference, drop pairs that can't link (the suffix filter). At n-grams with many classes, only
-   neighbours in order of length are joined where the length filter lets them; that keeps every possible link inside
-   one component without making pairs.
+3. Candidates. Classes meet at the n-grams of their prefixes, in groups of hash ranges. Pairs must pass the length and
+   positional filters, and 1024-bit parity sketches, whose distance never exceeds the sets' difference, drop pairs that
+   can't link (the suffix filter). At n-grams with few classes these pairs are made as rows. At n-grams with many, their
+   classes are compared by blocks of at most ``BLOCK``, and each block pair returns a spanning forest of the pairs that
+   pass, so rows grow with the classes and not with their square.
 4. Verification. Components of candidates are brought together, each class's n-grams once a unit, and all pairs in a
    unit are intersected as a matrix product, once each. Components over ``UNIT_CLASSES`` classes or ``UNIT_GRAMS`` n-grams
    are cut into blocks by hash and verified block against block, so a unit is bounded whatever the group's size. Units
@@ -40,6 +40,8 @@ COUNTERS, PARTS = 1 << 18, 64
 PARITY_BITS = 1024
 #: Classes at an n-gram up to which all filtered pairs are made.
 FEW = 16
+#: Classes of a frequent n-gram that are compared at once.
+BLOCK = 4096
 UNIT_CLASSES, UNIT_GRAMS = 512, 2_000_000
 NULL_ID = -(1 << 63)
 
@@ -141,35 +143,88 @@ def _postings(groups: int):
     return run
 
 
-def _candidates(percent: int):
+def _candidates(percent: int, few: int):
     def run(table: pa.Table) -> pa.Table:
         gram, no, n, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=k) for c, k in (("gram", np.uint64), ("no", np.int64), ("n", np.int32), ("pos", np.int32)))
         order = np.lexsort((no, n, gram))
         gram, no, n, pos = gram[order], no[order], n[order].astype(np.int64), pos[order].astype(np.int64)
         edge = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, len(gram)))
-        a, b, loose = [], [], []
-        for s in range(2, FEW + 1):
+        a, b = [], []
+        for s in range(2, few + 1):
             at = edge[size == s]
             if len(at):
                 i, j = np.triu_indices(s, 1)
                 x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                needed = -(-percent * (n[x] + n[y]) // (100 + percent))
-                most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
-                ok = (n[x] * 100 >= percent * n[y]) & (most >= needed)
+                ok = _may_link(n[x], n[y], pos[x], pos[y], percent)
                 a.append(no[x[ok]])
                 b.append(no[y[ok]])
-                loose.append(np.zeros(int(ok.sum()), dtype=bool))
-        many = np.repeat(size > FEW, size)
-        x = np.flatnonzero(many[:-1] & (gram[1:] == gram[:-1])) if len(gram) else edge
-        x = x[n[x] * 100 >= percent * n[x + 1]]
-        a, b = np.concatenate([*a, no[x]]), np.concatenate([*b, no[x + 1]])
-        loose = np.concatenate([*loose, np.ones(len(x), dtype=bool)])
-        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(loose)], ["a", "b", "loose"])
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        many = np.flatnonzero(np.repeat(size > few, size))
+        none = lambda k, t=pa.int64(): pa.nulls(k, t)
+        pairs = pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), none(len(a)), none(len(a), pa.int32()), none(len(a), pa.int32())], ["a", "b", "gram", "n", "pos"])
+        rest = pa.table([pa.array(no[many], pa.int64()), none(len(many)), pa.array(gram[many].astype(np.int64), pa.int64()), pa.array(n[many], pa.int32()), pa.array(pos[many], pa.int32())], ["a", "b", "gram", "n", "pos"])
+        return pa.concat_tables([pairs, rest])
+
+    return run
+
+
+def _may_link(n_x, n_y, pos_x, pos_y, percent: int):
+    """The length filter and the positional filter for sets that share the n-grams at these positions."""
+    needed = -(-percent * (n_x + n_y) // (100 + percent))
+    return (np.minimum(n_x, n_y) * 100 >= percent * np.maximum(n_x, n_y)) & (np.minimum(pos_x, pos_y) + np.minimum(n_x - pos_x, n_y - pos_y) >= needed)
+
+
+def _frequent(percent: int):
+    """Spanning forests of the pairs that pass the filters, among the classes of each frequent n-gram in the table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, no, n, pos, own = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "no", "n", "pos", "own"))
+        across = table.num_rows > 0 and table.column("lo")[0] != table.column("hi")[0]
+        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=np.uint64).reshape(len(no), -1)
+        order = np.lexsort((no, n, gram))
+        a, b = [], []
+        for who in np.split(order, np.flatnonzero(np.diff(gram[order])) + 1):
+            m, root = len(who), np.arange(len(who))
+            step = max(1, 4_000_000 // max(m, 1) // 16)
+            for i in range(0, m, step):
+                x = who[i : i + step]
+                stop = int(np.searchsorted(n[who] * percent, n[x[-1]] * 100, side="right"))
+                y = who[i:stop]
+                ok = _may_link(n[x][:, None], n[y][None, :], pos[x][:, None], pos[y][None, :], percent)
+                if across:
+                    ok &= own[x][:, None] != own[y][None, :]
+                ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+                r, c = np.nonzero(ok)
+                total = n[x[r]] + n[y[c]]
+                apart = np.zeros(len(r), dtype=np.int64)
+                for k in range(parity.shape[1]):
+                    apart += np.bitwise_count(parity[x[r], k] ^ parity[y[c], k])
+                near = apart <= total - 2 * -(-percent * total // (100 + percent))
+                root = joined(root, i + r[near], i + c[near])
+            away = np.flatnonzero(root != np.arange(m))
+            a.append(no[who[away]])
+            b.append(no[who[root[away]]])
+        flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+        return pa.table([flat(a), flat(b)], ["a", "b"])
 
     return run
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest-index roots after joining the edges (a, b)."""
+    root = root.copy()
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, low, high = a[apart], b[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _sketch_filter(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +234,7 @@ def _sketch_filter(percent: int):
             apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
             n = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
             most = n - 2 * -(-percent * n // (100 + percent))
-            ok = pa.array((apart <= most) | np.asarray(batch.column("loose").to_numpy(zero_copy_only=False)))
+            ok = pa.array(apart <= most)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     return run
@@ -262,7 +317,12 @@ def _verified(percent: int):
     return run
 
 
-def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _units():
+    """The block pairs that a row of block ``own`` of ``blocks`` takes part in."""
+    return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"), F.col("own").alias("own")))
+
+
+def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -273,18 +333,23 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     classes = materialize(classes.withColumn("no", F.monotonically_increasing_id()), "jaccard-classes")
 
     postings = classes.select("no", "n", "prefix").mapInArrow(_postings(groups), "group int, gram binary, no binary, n binary, pos binary")
-    pairs = postings.groupBy("group").applyInArrow(_candidates(percent), "a long, b long, loose boolean")
-    pairs = pairs.groupBy("a", "b").agg(F.max("loose").alias("loose"))
+    met = materialize(postings.groupBy("group").applyInArrow(_candidates(percent, few), "a long, b long, gram long, n int, pos int"), "jaccard-met")
     side = lambda s: classes.select(F.col("no").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_filter(percent), "a long, b long")
+    pairs = met.filter("b IS NOT NULL").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_filter(percent), "a long, b long")
+    often = met.filter("b IS NULL").select(F.col("a").alias("no"), "gram", "n", "pos")
+    counts = often.groupBy(F.col("gram").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    often = often.join(counts, F.col("gram") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    often = often.join(classes.select("no", "parity"), "no").withColumn("unit", F.explode(_units()))
+    bucket = F.when(F.col("blocks") > 1, F.col("gram")).otherwise(-1 - F.pmod(F.xxhash64("gram"), F.lit(groups)))
+    often = often.select(bucket.alias("bucket"), "unit.lo", "unit.hi", "unit.own", "gram", "no", "n", "pos", "parity")
+    pairs = pairs.union(often.groupBy("bucket", "lo", "hi").applyInArrow(_frequent(percent), "a long, b long"))
     near = components(pairs, "jaccard-near").withColumnRenamed("root", "comp")
 
     nodes = near.join(classes.select("no", "key", "pick", "n"), F.col("node") == F.col("no"))
     sizes = nodes.groupBy(F.col("comp").alias("of")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / UNIT_CLASSES, F.sum("n") / UNIT_GRAMS)).cast("int").alias("blocks"))
     nodes = nodes.join(sizes, F.col("comp") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
-    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"), F.col("own").alias("own")))
     bucket = F.when(F.col("blocks") > 1, F.col("comp")).otherwise(-1 - F.pmod(F.xxhash64("comp"), F.lit(groups)))
-    nodes = nodes.select("no", "key", "pick", "comp", bucket.alias("bucket"), units.alias("units"))
+    nodes = nodes.select("no", "key", "pick", "comp", bucket.alias("bucket"), _units().alias("units"))
     found = docs.join(nodes, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("pick")).select("text", "no", "key", "comp", "bucket", "units")
     sets = found.mapInArrow(_sets(shingle), "bucket long, lo int, hi int, own int, comp long, no long, grams binary")
     links = sets.groupBy("bucket", "lo", "hi").applyInArrow(_verified(percent), "a long, b long")
