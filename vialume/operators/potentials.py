@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vialume.functions.geo import half_even, travel_bound
@@ -34,7 +34,7 @@ def as_potential(rows: DataFrame, estimate: Column, scale: float = 10.0) -> Data
 def analytic(nodes: DataFrame, targets: DataFrame, v_max_kmh: float = 130.0) -> DataFrame:
     """Potentials from straight lines at top speed, for each of ``targets`` (target_id)."""
     goal = nodes.join(targets, F.col("node_id") == F.col("target_id"), "left_semi").select(F.col("node_id").alias("target_id"), F.col("y").alias("ty"), F.col("x").alias("tx"))
-    rows = nodes.crossJoin(F.broadcast(goal.limit(100_000)))  # each target is a problem of its own: all nodes times all targets is the result
+    rows = nodes.crossJoin(goal)  # each target is a problem of its own: all nodes times all targets is the result
     return as_potential(rows, travel_bound("y", "x", "ty", "tx", v_max_kmh) / 10.0)
 
 
@@ -67,11 +67,9 @@ def repaired_edges(edges: DataFrame, potentials: DataFrame, phi: DataFrame, weig
 
 def anchors(nodes: DataFrame, target: int, ratio: float = 0.1, least: int = 100, seed: int = 42) -> DataFrame:
     """Nodes with a flag ``anchor``: a sample of max(least, ratio n) nodes, and the target."""
-    order = Window.orderBy(mod_rank(F.col("node_id"), seed), "node_id")
     total = nodes.count()
     n = min(max(least, int(total * ratio)), total)
     top = nodes.select("node_id", mod_rank(F.col("node_id"), seed).alias("r")).orderBy("r", "node_id").limit(n).select(F.col("node_id").alias("chosen"))
-    del order
     return nodes.join(top, F.col("node_id") == F.col("chosen"), "left").withColumn("anchor", F.col("chosen").isNotNull() | (F.col("node_id") == target)).drop("chosen")
 
 

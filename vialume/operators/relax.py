@@ -114,7 +114,7 @@ def repair_potentials(reduced: DataFrame, nodes: DataFrame, method: str = "auto"
     Raises ValueError if reduced weights hold a negative cycle (weights made from one potential can't).
     """
     merged = reduced.groupBy("target_id", "u", "v").agg(F.min("w_red").alias("w"))
-    if method != "relaxation" and len(merged.limit(KERNEL_EDGES + 1).select("u").toPandas()) <= KERNEL_EDGES:
+    if method != "relaxation" and merged.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES:
         ids = np.sort(nodes.select("node_id").toPandas()["node_id"].to_numpy())
         shared = nodes.sparkSession.sparkContext.broadcast(ids)
 
