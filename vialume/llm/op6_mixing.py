@@ -6,8 +6,8 @@ cap / weight the capped sources come first, so one pass of running sums finds th
 
 Positions. Documents of a source stand in a fixed order (those of over 1/50 of the source or of its target first, large
 to small, then by MD5 of doc_id), pass after pass, and a document's copy is taken if it ends before the target. What is
-then missing goes, ``FILLS`` times, to the largest document that fits and hasn't been taken in that pass; its copy comes
-last. So a source's taken words stay below its target by a small document at most. While training time runs from 0 to 1,
+then missing goes, ``FILLS`` times, to the largest document that fits and hasn't been taken in that pass (of a smaller
+size each time); its copy comes last. So a source's taken words stay below its target by a small document at most. While training time runs from 0 to 1,
 a source is drawn at ``target * (1 + tilt * (2t - 1))`` words a unit of time; the integral of that schedule is inverted at the
 copy's cumulative words, which gives its training position, and documents are range-sorted by their first position
 (those not taken behind, spread by hash).
@@ -79,15 +79,14 @@ def mix(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float, float
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(most_repeats).cast("long")
     rows = materialize(rows.select("doc_id", "source", "size", "source_size", "target", "weight", "place", "part", offset.alias("offset"), copies.alias("copies"), (passes + 1 - copies).alias("open")), "mix-rows")
 
-    short = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
+    short = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).withColumn("below", F.lit(1 << 62))
+    sizes = rows.filter((F.col("open") > 0) & (F.col("size") > 0) & (F.col("copies") < most_repeats)).groupBy("source", "size").agg(F.max("offset").alias("offset"))
     picks = None
     for _ in range(FILLS):
-        fits = rows.filter((F.col("open") > 0) & (F.col("size") > 0) & (F.col("copies") < most_repeats)).join(short.select(F.col("source").alias("of"), "short"), F.col("source").eqNullSafe(F.col("of"))).filter(F.col("size") <= F.col("short")).drop("of")
-        if picks is not None:
-            fits = fits.join(picks, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("offset") == F.col("at")), "left_anti")
+        fits = sizes.join(short.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).filter((F.col("size") <= F.col("short")) & (F.col("size") < F.col("below")))
         pick = fits.groupBy("source").agg(F.max(F.struct("size", "offset")).alias("pick"))
         got = pick.select(F.col("source").alias("in_source"), F.col("pick.offset").alias("at"), F.col("pick.size").alias("got"))
-        short = short.join(got, F.col("source").eqNullSafe(F.col("in_source")), "left").select("source", (F.col("short") - F.coalesce("got", F.lit(0))).alias("short"))
+        short = short.join(got, F.col("source").eqNullSafe(F.col("in_source")), "left").select("source", (F.col("short") - F.coalesce("got", F.lit(0))).alias("short"), F.coalesce("got", "below").alias("below"))
         picks = got if picks is None else picks.unionByName(got)
     picks = materialize(picks, "mix-picks")
     mine = F.col("source").eqNullSafe(F.col("in_source")) & (F.col("offset") == F.col("at")) & (F.col("size") == F.col("got"))
@@ -133,16 +132,16 @@ summed AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY
 counted AS (SELECT *, least(CAST(off AS DOUBLE) / target, 1.0::DOUBLE) AS share,
   CAST((CASE WHEN CAST(off + size AS DOUBLE) <= target THEN 1 ELSE 0 END) + (CASE WHEN CAST(off + source_size + size AS DOUBLE) <= target THEN 1 ELSE 0 END)
   + (CASE WHEN CAST(off + 2 * source_size + size AS DOUBLE) <= target THEN 1 ELSE 0 END) AS BIGINT) AS copies FROM summed),
-short0 AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS short, false AS taken_last,
+short0 AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS short, false AS taken_last, 4611686018427387904 AS below,
   CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 3 END + 1 - copies AS open FROM counted),
-pick0 AS (SELECT source, max(ROW(size, off)) AS pick FROM short0 WHERE open > 0 AND size > 0 AND copies < 3 AND NOT taken_last AND size <= short GROUP BY source),
-short1 AS (SELECT s.* REPLACE (s.short - coalesce(struct_extract_at(p.pick, 1), 0) AS short, s.taken_last OR coalesce(ROW(s.size, s.off) = p.pick, false) AS taken_last)
+pick0 AS (SELECT source, max(ROW(size, off)) AS pick FROM short0 WHERE open > 0 AND size > 0 AND copies < 3 AND NOT taken_last AND size <= short AND size < below GROUP BY source),
+short1 AS (SELECT s.* REPLACE (s.short - coalesce(struct_extract_at(p.pick, 1), 0) AS short, coalesce(struct_extract_at(p.pick, 1), s.below) AS below, s.taken_last OR coalesce(ROW(s.size, s.off) = p.pick, false) AS taken_last)
   FROM short0 s LEFT JOIN pick0 p ON s.source IS NOT DISTINCT FROM p.source),
-pick1 AS (SELECT source, max(ROW(size, off)) AS pick FROM short1 WHERE open > 0 AND size > 0 AND copies < 3 AND NOT taken_last AND size <= short GROUP BY source),
-short2 AS (SELECT s.* REPLACE (s.short - coalesce(struct_extract_at(p.pick, 1), 0) AS short, s.taken_last OR coalesce(ROW(s.size, s.off) = p.pick, false) AS taken_last)
+pick1 AS (SELECT source, max(ROW(size, off)) AS pick FROM short1 WHERE open > 0 AND size > 0 AND copies < 3 AND NOT taken_last AND size <= short AND size < below GROUP BY source),
+short2 AS (SELECT s.* REPLACE (s.short - coalesce(struct_extract_at(p.pick, 1), 0) AS short, coalesce(struct_extract_at(p.pick, 1), s.below) AS below, s.taken_last OR coalesce(ROW(s.size, s.off) = p.pick, false) AS taken_last)
   FROM short1 s LEFT JOIN pick1 p ON s.source IS NOT DISTINCT FROM p.source),
-pick2 AS (SELECT source, max(ROW(size, off)) AS pick FROM short2 WHERE open > 0 AND size > 0 AND copies < 3 AND NOT taken_last AND size <= short GROUP BY source),
-short3 AS (SELECT s.* REPLACE (s.short - coalesce(struct_extract_at(p.pick, 1), 0) AS short, s.taken_last OR coalesce(ROW(s.size, s.off) = p.pick, false) AS taken_last)
+pick2 AS (SELECT source, max(ROW(size, off)) AS pick FROM short2 WHERE open > 0 AND size > 0 AND copies < 3 AND NOT taken_last AND size <= short AND size < below GROUP BY source),
+short3 AS (SELECT s.* REPLACE (s.short - coalesce(struct_extract_at(p.pick, 1), 0) AS short, coalesce(struct_extract_at(p.pick, 1), s.below) AS below, s.taken_last OR coalesce(ROW(s.size, s.off) = p.pick, false) AS taken_last)
   FROM short2 s LEFT JOIN pick2 p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (copies + CAST(taken_last AS BIGINT)) * size AS taken, copies + CAST(taken_last AS BIGINT) AS copies,
   CASE WHEN copies > 0 AND target > 0 THEN CAST(floor(2.0::DOUBLE * share / ((1.0::DOUBLE - tilt) + sqrt((1.0::DOUBLE - tilt) * (1.0::DOUBLE - tilt) + 4.0::DOUBLE * tilt * share)) * 1000000) AS BIGINT)
