@@ -446,7 +446,8 @@ def _lossy(g: Graph) -> DataFrame:
 
 
 def _loss(rows: DataFrame) -> DataFrame:
-    return rows.select("row_id", milli(F.col("grad")).alias("grad_milli"), milli(F.col("hess")).alias("hess_milli"))
+    off = lambda c: F.floor(F.col(c) * 1000 + 0.3719).cast("long")  # cut where means of tenths over few edges never fall
+    return rows.select("row_id", off("grad").alias("grad_milli"), off("hess").alias("hess_milli"))
 
 
 @query
