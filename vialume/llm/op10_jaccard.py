@@ -7,8 +7,8 @@ A document's set holds its distinct ``shingle``-word n-grams (A-Z lower-cased, 4
 2. Prefixes. n-grams are ordered rare first, by their count over all documents in a table of 2^18 hashed counters (2 MB,
    whatever the corpus), then by hash. Linked sets share one of their first ``n - ceil(percent n) + 1`` n-grams.
 3. Candidates. Classes meet at the n-grams of their prefixes, in groups of hash ranges. Pairs must pass the length and
-   positional filters, and 1024-bit parity sketches, whose distance never exceeds the sets' difference, drop pairs that
-   can't link (the suffix filter). At n-grams with few classes these pairs are made as rows. At n-grams with many, their
+   positional filters, and parity sketches, whose distance never exceeds the sets' difference, drop pairs that can't link
+   (the suffix filter). A sketch has 1024 bits, or the power of two over half the set's size; a larger one folds. At n-grams with few classes these pairs are made as rows. At n-grams with many, their
    classes are compared by blocks of at most ``BLOCK``, and each block pair returns a spanning forest of the pairs that
    pass, so rows grow with the classes and not with their square.
 4. Verification. Components of candidates are brought together, each class's n-grams once a unit, and all pairs in a
@@ -37,7 +37,7 @@ from vialume.llm.text import FOLDED_CODES, Words, mix, spans
 
 SHINGLE, PERCENT = 3, 90
 COUNTERS, PARTS = 1 << 18, 64
-PARITY_BITS = 1024
+PARITY_BITS, GRAMS_A_BIT = 1024, 2
 #: Classes at an n-gram up to which all filtered pairs are made.
 FEW = 16
 #: Classes of a frequent n-gram that are compared at once.
@@ -113,14 +113,40 @@ def _described(k: int, percent: int, shared):
                     rank = row.astype(np.uint64) << np.uint64(48) | counts[(h % COUNTERS).astype(np.int64)] << np.uint64(28) | h & np.uint64((1 << 28) - 1)
                     order = h[np.argsort(rank, kind="stable")]
                     size = n - _needed(n, percent) + 1
-                    parity = np.bincount(row * PARITY_BITS + (h >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=(hi - lo) * PARITY_BITS) & 1
-                    parity = np.packbits(parity.astype(np.uint8).reshape(hi - lo, PARITY_BITS), axis=1)
-                    out += [pa.array([order[i : i + s].tobytes() if i < j else b"" for (i, j), s in zip(edges, size.tolist(), strict=True)], pa.binary()), pa.array([p.tobytes() for p in parity], pa.binary())]
+                    bits = sketch_bits(n)
+                    ends = np.cumsum(bits)
+                    parity = np.bincount(np.repeat(ends - bits, n) + (h >> np.uint64(12)).astype(np.int64) % np.repeat(bits, n), minlength=int(ends[-1])) & 1
+                    parity = np.packbits(parity.astype(np.uint8)).tobytes()
+                    out += [pa.array([order[i : i + s].tobytes() if i < j else b"" for (i, j), s in zip(edges, size.tolist(), strict=True)], pa.binary()), pa.array([parity[i:j] for i, j in zip(((ends - bits) // 8).tolist(), (ends // 8).tolist(), strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "key", "prefix", "parity"][: len(out)])
 
     return run
 
 
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity sketch of sets of these sizes: a power of two."""
+    most = np.maximum(n / (GRAMS_A_BIT * PARITY_BITS), 1)
+    return PARITY_BITS << np.ceil(np.log2(most)).astype(np.int64)
+
+
+def sketch_distances(sketches: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of each pair differ, the larger one folded to the smaller."""
+    size, out = np.array([len(v) for v in sketches], dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+    least = np.minimum(size[x], size[y]) if len(x) else out
+    for width in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == width)
+        rows = np.unique(np.concatenate([x[pairs], y[pairs]]))
+        folded = np.empty((len(rows), width), dtype=np.uint8)
+        for s in np.unique(size[rows]).tolist():
+            own = np.flatnonzero(size[rows] == s)
+            raw = np.frombuffer(b"".join([sketches[i] for i in rows[own].tolist()]), dtype=np.uint8)
+            folded[own] = np.bitwise_xor.reduce(raw.reshape(len(own), s // width, width), axis=1)
+        folded, a, b = folded.view(np.uint64), np.searchsorted(rows, x[pairs]), np.searchsorted(rows, y[pairs])
+        for k in range(width // 8):
+            out[pairs] += np.bitwise_count(folded[a, k] ^ folded[b, k])
+    return out
+
+
 def _postings(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +207,7 @@ def _frequent(percent: int):
     def run(table: pa.Table) -> pa.Table:
         gram, no, n, pos, own = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "no", "n", "pos", "own"))
         across = table.num_rows > 0 and table.column("lo")[0] != table.column("hi")[0]
-        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=np.uint64).reshape(len(no), -1)
+        parity = table.column("parity").to_pylist()
         order = np.lexsort((no, n, gram))
         a, b = [], []
         for who in np.split(order, np.flatnonzero(np.diff(gram[order])) + 1):
@@ -197,9 +223,7 @@ def _frequent(percent: int):
                 ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
                 r, c = np.nonzero(ok)
                 total = n[x[r]] + n[y[c]]
-                apart = np.zeros(len(r), dtype=np.int64)
-                for k in range(parity.shape[1]):
-                    apart += np.bitwise_count(parity[x[r], k] ^ parity[y[c], k])
+                apart = sketch_distances(parity, x[r], y[c])
                 near = apart <= total - 2 * -(-percent * total // (100 + percent))
                 root = joined(root, i + r[near], i + c[near])
             away = np.flatnonzero(root != np.arange(m))
@@ -230,8 +254,8 @@ def _sketch_filter(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("parity_a", "parity_b")]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+            first = np.arange(batch.num_rows)
+            apart = sketch_distances([*batch.column("parity_a").to_pylist(), *batch.column("parity_b").to_pylist()], first, first + batch.num_rows)
             n = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
             most = n - 2 * -(-percent * n // (100 + percent))
             ok = pa.array(apart <= most)
