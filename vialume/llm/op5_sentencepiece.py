@@ -36,9 +36,9 @@ from vialume.llm.text import span_hashes, spans
 
 SPACE = "▁"
 #: Units kept for lookup, and the longest of them in bytes; beyond that they are encoded again.
-KEPT_UNITS, KEPT_BYTES = 600_000, 64
+KEPT_UNITS, KEPT_BYTES = 300_000, 64
 #: Bytes of text whose units are looked up together.
-TOGETHER = 6 << 20
+TOGETHER = 2 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
