@@ -278,6 +278,17 @@ def test_mixing(docs, none, rows, spark):
     assert sorted(zip(got["size"], got.taken)) == sorted(zip(again["size"], again.taken))
 
 
+@pytest.mark.parametrize("long_ones", [[60000], [30000, 29000], [9000, 8000, 7000, 6000]])
+def test_mixing_goes_on_past_long_documents(spark, long_ones):
+    sizes = [("a", n) for n in [*long_ones, *[200] * 300]] + [("b", 200)] * 100 + [("c", 200)] * 100
+    frame = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+    got = op6_mixing.mix(frame).toPandas()
+    assert len(got) == len(sizes) and got.doc_id.nunique() == len(sizes)
+    assert (got.taken == got.copies * got["size"]).all() and (got.position_ppm.notna() == (got.copies > 0)).all()
+    for _, g in got.groupby(got.doc_id.map(lambda i: sizes[i][0])):
+        assert 0 <= g.target.iloc[0] - g.taken.sum() <= 200 and g.copies.max() - g.copies.min() <= 1
+
+
 def test_substring(docs, none, rows, spark):
     unique = {}
     for i, t, *_ in rows:

@@ -7,8 +7,10 @@ cap / weight the capped sources come first, so one pass of running sums finds th
 Positions. Documents of a source stand in a fixed order (those of over 1/50 of the source or of its target first, large
 to small, then by MD5 of doc_id), pass after pass, and a document's copy is taken if it ends before the target. What is
 then missing goes, ``FILLS`` times, to the largest document that fits and hasn't been taken in that pass (of a smaller
-size each time); its copy comes last. So a source's taken words stay below its target by a small document at most. While training time runs from 0 to 1,
-a source is drawn at ``target * (1 + tilt * (2t - 1))`` words a unit of time; the integral of that schedule is inverted at the
+size each time); its copy comes last. Where more than the source's largest small document is still missing (long documents
+that don't fit keep the later ones out), the last pass is planned anew: long documents are taken, large to small, if they
+fit in what is left, and the small ones follow in order until one doesn't fit; only taken documents advance the sum. So a
+source's taken words stay below its target by a small document at most, or no document is left that fits. While training time runs from 0 to 1, a source is drawn at ``target * (1 + tilt * (2t - 1))`` words a unit of time; the integral of that schedule is inverted at the
 copy's cumulative words, which gives its training position, and documents are range-sorted by their first position
 (those not taken behind, spread by hash).
 
@@ -53,6 +55,30 @@ def position(tilt: Column, share: Column) -> Column:
     return F.lit(2.0) * share / (flat + F.sqrt(flat * flat + F.lit(4.0) * tilt * share))
 
 
+def _replanned(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """The last pass of each source that is short of more than a small document: its words and the large ones it takes.
+
+    One row a source; its array holds the source's distinct large sizes while it is folded, and at most 50 after.
+    """
+    large = F.col("part") < 0
+    untaken = (F.col("open") > 0) & (F.col("size") > 0)
+    per = rows.groupBy(F.col("source").alias("again_source")).agg(
+        F.coalesce(F.sum(F.when(large, F.col("size"))), F.lit(0)).alias("large_words"), F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("small_words"),
+        F.max(F.when(~large & (F.col("size") > 0), F.col("size"))).alias("small"), F.min(F.when(untaken, F.col("size"))).alias("least"), (F.first("target") - F.first("source_size") * F.first("passes")).alias("rest"))
+    per = per.join(short.select(F.col("source").alias("of"), "short"), F.col("again_source").eqNullSafe(F.col("of"))).drop("of")
+    per = per.filter((F.col("least") <= F.col("short")) & F.coalesce(F.col("short") > F.col("small"), F.lit(True)))
+    sizes = rows.filter(large).groupBy(F.col("source").alias("of"), "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    per = per.join(sizes, F.col("again_source").eqNullSafe(F.col("of")), "left").drop("of")
+
+    start = "named_struct('base', 0L, 'got', 0L, 'taken', CAST(array() AS array<struct<size: bigint, base: bigint, ahead: bigint, n: bigint>>))"
+    n = "least(x.n, CAST(floor((rest - s.got) / x.size) AS BIGINT))"
+    step = f"named_struct('base', s.base + x.size * x.n, 'got', s.got + x.size * {n}, 'taken', IF({n} > 0, concat(s.taken, array(named_struct('size', x.size, 'base', s.base, 'ahead', s.got, 'n', {n}))), s.taken))"
+    per = per.withColumn("plan", F.expr(f"aggregate(coalesce(sizes, CAST(array() AS array<struct<size: bigint, n: bigint>>)), {start}, (s, x) -> {step})"))
+    better = F.least((F.col("plan.got") + F.col("small_words")).cast("double"), F.col("rest")) > F.col("rest") - F.col("short")
+    return per.filter(better).select("again_source", "large_words", "rest", F.col("plan.got").alias("large_taken"), F.col("plan.taken").alias("taken_large"))
+
+
 def mix(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float, float] = TILTS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, position_ppm) per row of ``docs``, sorted by position."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -77,7 +103,7 @@ def mix(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float, float
     ends = lambda k: (offset + F.col("source_size") * k + F.col("size")).cast("double")
     copies = sum((F.when(ends(k) <= F.col("target"), 1).otherwise(0) for k in range(most_repeats)), F.lit(0)).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(most_repeats).cast("long")
-    rows = materialize(rows.select("doc_id", "source", "size", "source_size", "target", "weight", "place", "part", offset.alias("offset"), copies.alias("copies"), (passes + 1 - copies).alias("open")), "mix-rows")
+    rows = materialize(rows.select("doc_id", "source", "size", "source_size", "target", "weight", "place", "part", offset.alias("offset"), copies.alias("copies"), passes.alias("passes"), (passes + 1 - copies).alias("open")), "mix-rows")
 
     short = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).withColumn("below", F.lit(1 << 62))
     sizes = rows.filter((F.col("open") > 0) & (F.col("size") > 0) & (F.col("copies") < most_repeats)).groupBy("source", "size").agg(F.max("offset").alias("offset"))
@@ -90,7 +116,16 @@ def mix(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float, float
         picks = got if picks is None else picks.unionByName(got)
     picks = materialize(picks, "mix-picks")
     mine = F.col("source").eqNullSafe(F.col("in_source")) & (F.col("offset") == F.col("at")) & (F.col("size") == F.col("got"))
-    rows = rows.join(picks, mine, "left").withColumn("last", F.col("at").isNotNull())
+    again = materialize(_replanned(rows, short), "mix-again")
+    rows = rows.join(picks, mine, "left").join(again, F.col("source").eqNullSafe(F.col("again_source")), "left")
+    rows = rows.withColumn("anew", F.col("taken_large").isNotNull()).withColumn("last", F.col("at").isNotNull() & ~F.col("anew"))
+
+    taken = F.get(F.filter("taken_large", lambda x: x["size"] == F.col("size")), F.lit(0))
+    before = F.floor((F.col("offset") - taken["base"]) / F.col("size")).cast("long")
+    start = F.when(F.col("part") >= 0, F.col("offset") - F.col("large_words") + F.col("large_taken")).otherwise(taken["ahead"] + before * F.col("size"))
+    fits = F.when(F.col("part") >= 0, (start + F.col("size")).cast("double") <= F.col("rest")).otherwise(F.coalesce(before < taken["n"], F.lit(False)))
+    rows = rows.withColumn("copies", F.when(F.col("anew"), F.col("passes") + fits.cast("long")).otherwise(F.col("copies")))
+    rows = rows.withColumn("offset", F.when(F.col("anew") & (F.col("passes") == 0), start).otherwise(F.col("offset")))
 
     tilt = F.element_at(F.array(*[F.lit(float(x)) for x in tilts]), F.col("weight"))
     first = F.floor(position(tilt, F.least(F.col("offset").cast("double") / F.col("target"), F.lit(1.0))) * 1000000).cast("long")
