@@ -17,6 +17,8 @@ from vialume.llm.store import materialize
 from vialume.session import ship
 
 PIECES = "piece_bpe_32k.model"
+#: Near duplicates share four fifths of their runs of five words; op10_jaccard_components has its own contract.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return op10_jaccard.representatives(docs)
+    return op10_jaccard.representatives(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vialume.llm import op1_license, op2_warc, op3_jpeg, op4_sharding, op5_sentencepiece, op6_mixing, op7_substring, op8_quality, op9_token_counts, op10_jaccard
 from vialume.llm.graph import components
 
@@ -406,6 +407,22 @@ def test_jaccard(docs, none, rows, spark, monkeypatch, percent, few):
         assert kept.columns == docs.columns
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    rng = random.Random(3)
+    rows = []
+    for family in range(12):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        for copy in range(3):
+            w = list(base)
+            for at in rng.sample(range(120), copy * rng.randint(1, 3)):
+                w[at] = f"x{rng.randint(0, 10**6)}"
+            rows.append((family * 10 + copy, " ".join(w), None, None))
+    expected = {c for _, _, c in _components(rows, 5, 80)}
+    assert len(expected) < len({c for _, _, c in _components(rows, 3, 90)})
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == expected
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7), (100, 101)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
