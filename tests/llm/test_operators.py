@@ -407,6 +407,19 @@ def test_jaccard(docs, none, rows, spark, monkeypatch, percent, few):
         assert kept.columns == docs.columns
 
 
+def test_rows_with_null_and_repeated_ids_stay_apart(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:9]] + [(8, texts[9]), (9, texts[9]), (None, texts[9]), (None, texts[0]), (7, ""), (7, None), (None, " ")]
+    frame = spark.createDataFrame([(i, t, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, row long")
+    kept = [(r["doc_id"], r["text"]) for r in op10_jaccard.representatives(frame).collect()]
+    assert Counter(kept) == Counter([*rows[:9], (8, texts[9]), (7, ""), (7, None), (None, " ")])
+    plan = op6_mixing.mix(frame.withColumn("source", F.when(F.col("row") % 2 == 0, "s").otherwise("t"))).toPandas()
+    out = op6_mixing.mixed(frame.withColumn("source", F.when(F.col("row") % 2 == 0, "s").otherwise("t"))).toPandas()
+    assert len(out) == plan.copies.sum()
+    assert Counter(out.row.value_counts()) == Counter(plan.copies[plan.copies > 0])
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     rng = random.Random(3)
     rows = []

@@ -99,7 +99,7 @@ def gram_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(k: int, percent: int, shared):
-    """doc_id, n and set digest; with counters also the prefix, rare first, and the parity sketch."""
+    """doc_id, n and set digest; with counters also the prefix, rare first, and the parity sketch, else the row key if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.minimum(shared.value, (1 << 20) - 1).astype(np.uint64) if shared else None
@@ -118,7 +118,9 @@ def _described(k: int, percent: int, shared):
                     parity = np.bincount(np.repeat(ends - bits, n) + (h >> np.uint64(12)).astype(np.int64) % np.repeat(bits, n), minlength=int(ends[-1])) & 1
                     parity = np.packbits(parity.astype(np.uint8)).tobytes()
                     out += [pa.array([order[i : i + s].tobytes() if i < j else b"" for (i, j), s in zip(edges, size.tolist(), strict=True)], pa.binary()), pa.array([parity[i:j] for i, j in zip(((ends - bits) // 8).tolist(), (ends // 8).tolist(), strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "key", "prefix", "parity"][: len(out)])
+                elif "row_key" in batch.schema.names:
+                    out.append(batch.column("row_key")[lo:hi])
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "key", *(["prefix", "parity"] if shared else ["row_key"])][: len(out)])
 
     return run
 
@@ -348,8 +350,20 @@ def _units():
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text)."""
+    return _linked(docs, shingle, percent, few).select("doc_id", "n_shingles", "component_id")
+
+
+def _row_key():
+    """A key that only rows with the same doc_id and text share."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int, few: int = FEW, keyed: bool = False) -> DataFrame:
+    """The rows of ``linked`` with the component's number (none for wordless rows) and, if ``keyed``, each row's key."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = [_row_key().alias("row_key")] if keyed else []
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own)
+    docs = every.select("doc_id", "text")
     groups = 32 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(gram_counts(docs, shingle))
     full = docs.mapInArrow(_described(shingle, percent, shared), "doc_id long, n long, key binary, prefix binary, parity binary").filter("n > 0")
@@ -379,15 +393,21 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, few:
     links = sets.groupBy("bucket", "lo", "hi").applyInArrow(_verified(percent), "a long, b long")
     roots = components(links, "jaccard-links").join(classes.select("no", "label"), F.col("node") == F.col("no"))
     least = roots.groupBy(F.col("root").alias("of")).agg(F.min("label").alias("component_id"))
-    changed = roots.join(least, F.col("root") == F.col("of")).select(F.col("no").alias("member"), "component_id")
+    changed = roots.join(least, F.col("root") == F.col("of")).select(F.col("no").alias("member"), "component_id", "root")
     named = classes.select("key", "no", "label").join(changed, F.col("no") == F.col("member"), "left")
-    named = named.select(F.col("key").alias("of_key"), F.coalesce("component_id", "label").alias("component_id"))
-    rows = docs.mapInArrow(_described(shingle, percent, None), "doc_id long, n long, key binary")
+    named = named.select(F.col("key").alias("of_key"), F.coalesce("component_id", "label").alias("component_id"), F.coalesce("root", "no").alias("component"))
+    rows = every.mapInArrow(_described(shingle, percent, None), "doc_id long, n long, key binary" + (", row_key string" if keyed else ""))
     out = rows.join(named, (F.col("key") == F.col("of_key")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), named, "component", *(["row_key"] if keyed else []))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest doc_id of each component; of rows with that doc_id, one."""
-    kept = linked(docs, shingle, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: that with the smallest doc_id (null last), of rows with that doc_id one; all wordless rows."""
+    rows = _linked(docs, shingle, percent, keyed=True).filter("component IS NOT NULL")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
+    kept = first.select(F.col("first.row_key").alias("kept_key"))
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    out = docs.filter(worded).withColumn("row_key", _row_key())
+    out = out.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).drop("row_key")
+    return out.union(docs.filter(~worded))

@@ -81,9 +81,14 @@ def _replanned(rows: DataFrame, short: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float, float] = TILTS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, position_ppm) per row of ``docs``, sorted by position."""
+    return _planned(docs, most_repeats, tilts)
+
+
+def _planned(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float, float] = TILTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``mix`` with the columns ``keep`` of ``docs`` behind."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col("source") if "source" in docs.columns else F.lit(None)
-    sized = materialize(docs.select("doc_id", source.cast("string").alias("source"), words.alias("size")), "mix-sizes")
+    sized = materialize(docs.select("doc_id", source.cast("string").alias("source"), words.alias("size"), *keep), "mix-sizes")
     goals = targets(sized, most_repeats).select(F.col("source").alias("of"), "source_size", "n_docs", "weight", "target")
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     ranges = F.ceil(F.sqrt("n_docs"))
@@ -103,7 +108,7 @@ def mix(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float, float
     ends = lambda k: (offset + F.col("source_size") * k + F.col("size")).cast("double")
     copies = sum((F.when(ends(k) <= F.col("target"), 1).otherwise(0) for k in range(most_repeats)), F.lit(0)).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(most_repeats).cast("long")
-    rows = materialize(rows.select("doc_id", "source", "size", "source_size", "target", "weight", "place", "part", offset.alias("offset"), copies.alias("copies"), passes.alias("passes"), (passes + 1 - copies).alias("open")), "mix-rows")
+    rows = materialize(rows.select("doc_id", "source", "size", "source_size", "target", "weight", "place", "part", offset.alias("offset"), copies.alias("copies"), passes.alias("passes"), (passes + 1 - copies).alias("open"), *keep), "mix-rows")
 
     short = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).withColumn("below", F.lit(1 << 62))
     sizes = rows.filter((F.col("open") > 0) & (F.col("size") > 0) & (F.col("copies") < most_repeats)).groupBy("source", "size").agg(F.max("offset").alias("offset"))
@@ -131,17 +136,18 @@ def mix(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float, float
     first = F.floor(position(tilt, F.least(F.col("offset").cast("double") / F.col("target"), F.lit(1.0))) * 1000000).cast("long")
     copies = F.col("copies") + F.col("last").cast("long")
     ppm = F.when((F.col("copies") > 0) & (F.col("target") > 0), first).when(copies > 0, F.lit(1000000).cast("long"))
-    out = rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), ppm.alias("position_ppm"), "place")
+    out = rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), ppm.alias("position_ppm"), *keep, "place")
     behind = F.lit(1000001) + F.conv(F.substring("place", 1, 6), 16, 10).cast("long")
     return out.orderBy(F.coalesce("position_ppm", behind), "place").drop("place")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, sorted by its first position."""
-    plan = mix(docs).select(F.col("doc_id").alias("mix_id"), F.col("copies").alias("mix_copies"), F.col("position_ppm").alias("mix_at")).filter("mix_copies > 0").dropDuplicates(["mix_id"])
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    numbered = materialize(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-docs")
+    plan = _planned(numbered, keep=("mix_row",)).select(F.col("mix_row").alias("of_row"), F.col("copies").alias("mix_copies"), F.col("position_ppm").alias("mix_at")).filter("mix_copies > 0")
+    out = numbered.join(plan, F.col("mix_row") == F.col("of_row"))
     out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return out.orderBy("mix_at", F.xxhash64("doc_id", "mix_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.orderBy("mix_at", F.xxhash64("doc_id", "mix_row", "mix_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sql(table: str = "documents") -> str:
