@@ -337,6 +337,18 @@ def test_quality(docs, none, rows):
     assert op8_quality.filter_documents(docs).columns == docs.columns and op8_quality.filter_documents(docs).count() == got.kept.sum()
 
 
+def test_quality_bands_of_few_documents(spark):
+    many = [("en", 1000 + k, 2.0 + k % 20 / 200) for k in range(100)] + [("de", 1000 + k, 1.5 + k % 20 / 200) for k in range(100)]
+    lone = [("en", 200_000, 4.0), ("de", 200_000, 2.0), (None, 1000, 4.0), ("xx", 30, 4.0), ("xx", 30, 4.0), ("xx", 30, 4.1)]
+    values = spark.createDataFrame(many + lone, "lang string, n_bytes long, value double")
+    band = {(r["of_lang"], r["of_power"]): (r["low"], r["high"]) for r in op8_quality.bands(values).collect()}
+    assert len(band) == len({(c, n.bit_length()) for c, n, _ in many + lone})
+    for c, n, v in lone:
+        assert v > band[c, n.bit_length() - 1][1]
+    inside = [band[c, n.bit_length() - 1][0] <= v <= band[c, n.bit_length() - 1][1] for c, n, v in many]
+    assert all(inside)
+
+
 def test_kneser_ney_is_a_distribution():
     texts = ["banana bandana", "bananas and bandits", "", "abracadabra"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)

@@ -7,8 +7,10 @@ whatever the corpus, so it may be broadcast.
 
 A document's value is its mean negative log probability a byte (the log of its perplexity). For each language, values
 are counted in bins of 1/500 over all documents; the band reaches from ``REACH`` interquartile ranges below the first to
-as many above the third quartile (a range counts as ``LEAST_RANGE`` at least), and documents outside are rejected. The
-band scales with how much values of short texts scatter: bands are kept for each power of two of text bytes.
+``REACH_ABOVE`` above the third quartile (a range counts as ``LEAST_RANGE`` at least), and documents outside are rejected.
+The band scales with how much values of short texts scatter: bands are kept for each power of two of text bytes. Where
+fewer than ``LEAST_CELL`` documents share both, the band is that of the language with the neighbouring powers, then of the
+language, then of all documents, so that no few documents set their own.
 
 base_failed: fewer than 20 words, or more than 30 % of words in repeated 8-word windows. Null texts count as empty (base
 fails, no value). Null languages are one language. Rows are independent but for the model and the bands; repeated rows
@@ -30,7 +32,9 @@ from vialume.llm.store import materialize
 from vialume.llm.text import IS_WORD, Words, mix, spans
 
 LEAST_WORDS, MOST_REPEATED_PCT, REPEAT_WINDOW = 20, 30, 8
-REACH, LEAST_RANGE = 2, 0.02
+REACH, REACH_ABOVE, LEAST_RANGE = 2, 2, 0.02
+#: Documents that a band is made of at least, but for the band of all.
+LEAST_CELL = 50
 BINS = 500
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -178,15 +182,27 @@ def _values(shared):
     return run
 
 
-def bands(values: DataFrame, reach: float = REACH) -> DataFrame:
+def bands(values: DataFrame, reach: float = REACH, above: float = REACH_ABOVE) -> DataFrame:
     """(of_lang, of_power, low, high): for each language and power of two of bytes, from counts of value bins."""
     bins = values.filter("value IS NOT NULL").groupBy("lang", _power().alias("power"), F.floor(F.col("value") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("lang", "power")
+    bins = materialize(bins, "quality-bins")
+    near = bins.withColumn("power", F.explode(F.array(*[F.col("power") + k for k in (-1, 0, 1)])))
+    found = _quartiles(bins, "0", "lang", "power").join(_quartiles(near, "1", "lang", "power"), F.col("lang_0").eqNullSafe(F.col("lang_1")) & (F.col("power_0") == F.col("power_1")))
+    found = found.join(_quartiles(bins, "2", "lang"), F.col("lang_0").eqNullSafe(F.col("lang_2"))).crossJoin(F.broadcast(_quartiles(bins, "3")))
+    pick = F.coalesce(*[F.when(F.col(f"band_{k}.n") >= LEAST_CELL, F.col(f"band_{k}")) for k in range(3)], F.col("band_3"))
+    found = found.select(F.col("lang_0").alias("of_lang"), F.col("power_0").alias("of_power"), pick.alias("band")).select("of_lang", "of_power", "band.q1", "band.q3")
+    span = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_RANGE))
+    return found.select("of_lang", "of_power", (F.col("q1") - span * reach).alias("low"), (F.col("q3") + F.lit(1.0 / BINS) + span * above).alias("high"))
+
+
+def _quartiles(bins: DataFrame, tag: str, *keys: str) -> DataFrame:
+    """The keys and a struct of count and quartiles, named by ``tag``, for each value of ``keys``."""
+    bins = bins.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     bins = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
     quartile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) / F.lit(float(BINS))
-    found = bins.groupBy("lang", "power").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    span = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_RANGE)) * reach
-    return found.select(F.col("lang").alias("of_lang"), F.col("power").alias("of_power"), (F.col("q1") - span).alias("low"), (F.col("q3") + F.lit(1.0 / BINS) + span).alias("high"))
+    found = bins.groupBy(*keys).agg(F.struct(F.sum("n").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3")).alias(f"band_{tag}"))
+    return found.select(*[F.col(c).alias(f"{c}_{tag}") for c in keys], f"band_{tag}")
 
 
 def _power():
