@@ -337,6 +337,14 @@ def test_quality(docs, none, rows):
     assert op8_quality.filter_documents(docs).columns == docs.columns and op8_quality.filter_documents(docs).count() == got.kept.sum()
 
 
+def test_quality_rejects_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    got = op8_quality.rules(docs).join(labels, "doc_id").filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    kept = {r["quality"]: r["kept"] for r in got.collect()}
+    assert kept[0] < 0.5 and kept[1] > 0.95
+
+
 def test_quality_bands_of_few_documents(spark):
     many = [("en", 1000 + k, 2.0 + k % 20 / 200) for k in range(100)] + [("de", 1000 + k, 1.5 + k % 20 / 200) for k in range(100)]
     lone = [("en", 200_000, 4.0), ("de", 200_000, 2.0), (None, 1000, 4.0), ("xx", 30, 4.0), ("xx", 30, 4.0), ("xx", 30, 4.1)]

@@ -32,7 +32,8 @@ from vialume.llm.store import materialize
 from vialume.llm.text import IS_WORD, Words, mix, spans
 
 LEAST_WORDS, MOST_REPEATED_PCT, REPEAT_WINDOW = 20, 30, 8
-REACH, REACH_ABOVE, LEAST_RANGE = 2, 2, 0.02
+#: By the labels of sf0.1, junk lies above: nearly nothing but good documents would go by a nearer lower end.
+REACH, REACH_ABOVE, LEAST_RANGE = 2, 1, 0.02
 #: Documents that a band is made of at least, but for the band of all.
 LEAST_CELL = 50
 BINS = 500
