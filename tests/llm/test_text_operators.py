@@ -312,6 +312,16 @@ def test_substring(docs, none, rows, spark):
     out = op7_substring.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     kept = {r["doc_id"]: r["text"] for r in op7_substring.dedup(frame).collect()}
+    lengthened = op7_substring.digests(frame, 20, most=-1)
+    assert Counter(map(tuple, lengthened.collect())) == Counter(map(tuple, op7_substring.digests(frame, 20).collect()))
+    for most in (None, -1):
+        covered = defaultdict(set)
+        for r in op7_substring.repeats(frame, 20, most).collect():
+            own, before = words(unique[r["doc_id"]]), words(unique[r["earlier_doc_id"]])
+            assert r["n_words"] >= 20 and (r["earlier_doc_id"], r["earlier_start"]) < (r["doc_id"], r["start"])
+            assert own[r["start"] : r["start"] + r["n_words"]] == before[r["earlier_start"] : r["earlier_start"] + r["n_words"]]
+            covered[r["doc_id"]].update(range(r["start"], r["start"] + r["n_words"]))
+        assert {r["doc_id"]: r["n_removed"] for r in op7_substring.digests(frame, 20).collect()} == {i: len(covered[i]) for i in unique}
     assert all(kept[i] == t for i, t in unique.items() if len(words(t)) < 20)
 
 
@@ -478,3 +488,72 @@ def test_sketches_never_exceed_the_difference():
     assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, i, j in zip(apart, x, y))
     far = dict(zip(zip(x.tolist(), y.tolist()), apart.tolist()))
     assert far[3, 4] > 526 and far[4, 6] <= 210
+
+
+def thue_morse(order: int, letters: str) -> str:
+    out = letters[0]
+    for _ in range(order):
+        out += out.translate(str.maketrans(letters, letters[::-1]))
+    return out
+
+
+@pytest.mark.parametrize("order", [10, 12])
+def test_structured_words_have_their_own_hashes(spark, order):
+    """Words whose polynomial hashes modulo a power of two are equal are still told apart everywhere."""
+    a, b = thue_morse(order, "ab"), thue_morse(order, "ba")
+    sp, table = sentencepiece.SentencePieceProcessor(model_file=MODEL), op5_sentencepiece.piece_table(MODEL)
+    data = np.frombuffer((a + b + a).encode(), np.uint8)
+    at = np.array([0, len(a), 2 * len(a), 3 * len(a)])
+    got = [(n, ids.decode(), text.decode()) for n, ids, text in table.described(data, at)]
+    assert got == [(len(i := sp.encode(t)), ",".join(map(str, i)), t) for t in (a, b, a)]
+    head = " ".join(f"w{k}" for k in range(19))
+    frame = spark.createDataFrame([(1, f"{head} {a}"), (2, f"{head} {b}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in op7_substring.digests(frame).collect()] == [0, 0]
+    frame = spark.createDataFrame([(1, f"{a} z z"), (2, f"{b} z z")], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in op10_jaccard.linked(frame).collect()) == [1, 2]
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    monkeypatch.setattr(op5_sentencepiece, "span_hashes", lambda data, begin, end, lane, read: (end - begin).astype(np.uint64) % 3)
+    data = np.frombuffer(b"abcabdabcxyzxy" + b"q" * 300 + b"q" * 299 + b"r", np.uint8)
+    begin, end = np.array([0, 3, 6, 9, 12, 14, 314]), np.array([3, 6, 9, 12, 14, 314, 614])
+    code, first = op5_sentencepiece.distinct_spans(data, begin, end)
+    raw = data.tobytes()
+    texts = [raw[i:j] for i, j in zip(begin, end)]
+    assert all((code[i] == code[j]) == (texts[i] == texts[j]) for i in range(7) for j in range(7))
+    assert all(texts[first[c]] == t for c, t in zip(code, texts))
+
+
+CLASHES = ["key", "variant", "kept_id", "kept_variant", "kept_key", "row_key", "mix_row", "mix_at", "mix_copies", "mix_copy", "of_row", "n_words", "n_removed", "repeats", "sizes", "of", "of_variant", "component", "group", "n", "no", "label", "place", "size", "copies", "taken"]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark, rows, stage):
+    _, run = corpus_pipeline.STAGES[stage]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    frame = spark.createDataFrame([(*r, len(r[1] or ""), *CLASHES) for r in rows], schema)
+    out = run(spark, frame, "")
+    assert out.columns == names
+    got = out.collect()
+    assert got and all(tuple(r)[5:] == tuple(CLASHES) for r in got)
+    assert run(spark, frame.limit(0), "").count() == 0
+
+
+def test_families_larger_than_a_block(spark, monkeypatch):
+    """Frequent n-grams and large components, with classes that no pivot reaches."""
+    monkeypatch.setattr(op10_jaccard, "BLOCK", 6)
+    monkeypatch.setattr(op10_jaccard, "UNIT_CLASSES", 5)
+    rng, rows = random.Random(12), []
+    for family in range(2):
+        base = [f"f{family}w{k}" for k in range(50)]
+        for copy in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(50)] = f"x{rng.randint(0, 10**6)}"
+            rows.append((family * 100 + copy, " ".join(w), None, None))
+        chain = [f"c{family}w{k}" for k in range(60)]
+        rows += [(1000 + family * 100 + k, " ".join(chain[k : k + 40]), None, None) for k in range(20)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = op10_jaccard.linked(frame, 3, 80).collect()
+    assert Counter(map(tuple, got)) == Counter(_components(rows, 3, 80))

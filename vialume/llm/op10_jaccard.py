@@ -1,20 +1,22 @@
 """N-gram Jaccard join with rare-first prefix filtering.
 
-A document's set holds its distinct ``shingle``-word n-grams (A-Z lower-cased, 48-bit hashes). Two link when
+A document's set holds its distinct ``shingle``-word n-grams (A-Z lower-cased, 64-bit hashes). Two link when
 ``100 * |A & B| >= percent * |A | B|``.
 
 1. Classes. Documents with equal sets (128-bit digest) are one class; everything below works on classes.
 2. Prefixes. n-grams are ordered rare first, by their count over all documents in a table of 2^18 hashed counters (2 MB,
    whatever the corpus), then by hash. Linked sets share one of their first ``n - ceil(percent n) + 1`` n-grams.
-3. Candidates. Classes meet at the n-grams of their prefixes, in groups of hash ranges. Pairs must pass the length and
-   positional filters, and parity sketches, whose distance never exceeds the sets' difference, drop pairs that can't link
-   (the suffix filter). A sketch has 1024 bits, or the power of two over half the set's size; a larger one folds. At n-grams with few classes these pairs are made as rows. At n-grams with many, their
-   classes are compared by blocks of at most ``BLOCK``, and each block pair returns a spanning forest of the pairs that
-   pass, so rows grow with the classes and not with their square.
+3. Candidates. Classes meet at the n-grams of their prefixes. Pairs must pass the length and positional filters, and
+   parity sketches, whose distance never exceeds the sets' difference, drop pairs that can't link (the suffix filter). A
+   sketch has 1024 bits, or the power of two over half the set's size; a larger one folds. n-grams that surely have at most
+   ``BLOCK`` classes (by 2^20 counters of prefix n-grams) go to groups of hash ranges, where those with few classes make
+   pairs as rows; the others are counted exactly, and their classes are dealt to blocks before any group is formed.
 4. Verification. Components of candidates are brought together, each class's n-grams once a unit, and all pairs in a
-   unit are intersected as a matrix product, once each. Components over ``UNIT_CLASSES`` classes or ``UNIT_GRAMS`` n-grams
-   are cut into blocks by hash and verified block against block, so a unit is bounded whatever the group's size. Units
-   return a spanning forest of their links, not the links.
+   unit are intersected as a matrix product. Units have at most about ``UNIT_CLASSES`` classes and ``UNIT_GRAMS`` n-grams.
+5. Blocks (of a frequent n-gram's classes in 3, of a large component's in 4). First each block is compared with itself
+   and with the first block's pivots, which links most of a family of near copies. Then only classes outside the largest
+   linked part meet the other blocks, and only pairs that aren't linked yet are compared, so that rows and pairs grow with
+   the family and not with its square, and none is left out. Units return spanning forests of their links.
 
 Null or wordless texts have empty sets, link with nothing and are their own component. Rows with equal doc_ids are
 separate documents; null doc_ids take part, and a component of them alone has a null id. Empty tables give empty
@@ -31,24 +33,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vialume.llm.counters import slots, tally
+from vialume.llm.frames import own_names
 from vialume.llm.graph import components
 from vialume.llm.store import materialize
-from vialume.llm.text import FOLDED_CODES, Words, mix, spans
+from vialume.llm.text import Words, mix, spans
 
 SHINGLE, PERCENT = 3, 90
-COUNTERS, PARTS = 1 << 18, 64
+COUNTERS, PREFIX_COUNTERS = 1 << 18, 1 << 20
 PARITY_BITS, GRAMS_A_BIT = 1024, 2
 #: Classes at an n-gram up to which all filtered pairs are made.
 FEW = 16
 #: Classes of a frequent n-gram that are compared at once.
 BLOCK = 4096
 UNIT_CLASSES, UNIT_GRAMS = 512, 2_000_000
+#: One of so many classes of the first block is a pivot.
+PIVOT_SHARE = 16
+#: Parts into which the join of a frequent n-gram's postings with its count is dealt.
+SALTS = 64
 NULL_ID = -(1 << 63)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and hash of the distinct n-grams of each row, sorted by both, and the first of each row."""
-    words = Words(data, offsets, FOLDED_CODES)
+    words = Words(data, offsets, fold=True)
     at, h = words.windows(k)
     row = words.rows()[at]
     counts = words.counts()
@@ -59,9 +67,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
             own *= np.uint64(0x9FB21C651E98DF25)
             own += words.hash[words.offsets[short] + j]
         row, h = np.concatenate([row, short]), np.concatenate([h, mix(own)])
-    both = np.unique(row.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16))
-    row = (both >> np.uint64(48)).astype(np.int64)
-    return row, both & np.uint64((1 << 48) - 1), np.searchsorted(row, np.arange(len(offsets)))
+    order = np.argsort(h)
+    order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+    row, h = row[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    row, h = row[new], h[new]
+    return row, h, np.searchsorted(row, np.arange(len(offsets)))
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -72,55 +84,40 @@ def _digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def _tally(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            for _, _, data, offsets in spans(batch):
-                _, h, _ = shingle_sets(data, offsets, k)
-                total += np.bincount((h % COUNTERS).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, PARTS)], pa.binary())], ["part", "counts"])
-
-    return run
-
+def _text_grams(k: int):
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in spans(batch):
+            yield shingle_sets(data, offsets, k)[1]
 
-def _added(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist()], axis=0)
-    return pa.table([table.column("part")[:1], pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+    return hashes
 
 
-def gram_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """The counters: how many documents' n-grams fall on each."""
-    rows = docs.select("text").mapInArrow(_tally(k), "part int, counts binary").groupBy("part").applyInArrow(_added, "part int, counts binary").collect()
-    total = np.zeros(COUNTERS, dtype=np.int64)
-    for r in rows:
-        total[r["part"] * (COUNTERS // PARTS) :][: COUNTERS // PARTS] = np.frombuffer(r["counts"], dtype=np.int64)
-    return total
+def _prefix_grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield np.frombuffer(b"".join(batch.column("prefix").to_pylist()), dtype=np.uint64)
 
 
 def _described(k: int, percent: int, shared):
-    """doc_id, n and set digest; with counters also the prefix, rare first, and the parity sketch, else the row key if there is one."""
+    """doc_id, n, set digest, prefix (rare first), parity sketch and the row key if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.minimum(shared.value, (1 << 20) - 1).astype(np.uint64) if shared else None
+        counts = np.minimum(shared.value, (1 << 20) - 1).astype(np.uint64)
         for batch in batches:
             for lo, hi, data, offsets in spans(batch):
                 row, h, first = shingle_sets(data, offsets, k)
                 n = np.diff(first)
                 edges = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
                 out = [batch.column("doc_id").cast(pa.int64())[lo:hi], pa.array(n, pa.int64()), pa.array([_digest(h[i:j]) for i, j in edges], pa.binary())]
-                if shared:
-                    rank = row.astype(np.uint64) << np.uint64(48) | counts[(h % COUNTERS).astype(np.int64)] << np.uint64(28) | h & np.uint64((1 << 28) - 1)
-                    order = h[np.argsort(rank, kind="stable")]
-                    size = n - _needed(n, percent) + 1
-                    bits = sketch_bits(n)
-                    ends = np.cumsum(bits)
-                    parity = np.bincount(np.repeat(ends - bits, n) + (h >> np.uint64(12)).astype(np.int64) % np.repeat(bits, n), minlength=int(ends[-1])) & 1
-                    parity = np.packbits(parity.astype(np.uint8)).tobytes()
-                    out += [pa.array([order[i : i + s].tobytes() if i < j else b"" for (i, j), s in zip(edges, size.tolist(), strict=True)], pa.binary()), pa.array([parity[i:j] for i, j in zip(((ends - bits) // 8).tolist(), (ends // 8).tolist(), strict=True)], pa.binary())]
-                elif "row_key" in batch.schema.names:
+                rank = row.astype(np.uint64) << np.uint64(48) | counts[slots(h, COUNTERS)] << np.uint64(28) | h >> np.uint64(36)
+                order = h[np.argsort(rank, kind="stable")]
+                size = n - _needed(n, percent) + 1
+                bits = sketch_bits(n)
+                ends = np.cumsum(bits)
+                parity = np.bincount(np.repeat(ends - bits, n) + (h >> np.uint64(12) & np.uint64((1 << 36) - 1)).astype(np.int64) % np.repeat(bits, n), minlength=int(ends[-1])) & 1
+                parity = np.packbits(parity.astype(np.uint8)).tobytes()
+                out += [pa.array([order[i : i + s].tobytes() if i < j else b"" for (i, j), s in zip(edges, size.tolist(), strict=True)], pa.binary()), pa.array([parity[i:j] if k else b"" for i, j, k in zip(((ends - bits) // 8).tolist(), (ends // 8).tolist(), n.tolist(), strict=True)], pa.binary())]
+                if "row_key" in batch.schema.names:
                     out.append(batch.column("row_key")[lo:hi])
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "key", *(["prefix", "parity"] if shared else ["row_key"])][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "key", "prefix", "parity", "row_key"][: len(out)])
 
     return run
 
@@ -149,8 +146,11 @@ def sketch_distances(sketches: list[bytes], x: np.ndarray, y: np.ndarray) -> np.
     return out
 
 
-def _postings(groups: int):
+def _postings(groups: int, shared, frequent: bool):
+    """The prefix n-grams of classes: those that surely have at most ``BLOCK`` classes by group, or the others as rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
         for batch in batches:
             no, n = np.asarray(batch.column("no")), np.asarray(batch.column("n"))
             prefixes = batch.column("prefix").to_pylist()
@@ -158,7 +158,12 @@ def _postings(groups: int):
             gram = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
             who = np.repeat(np.arange(len(no)), size)
             pos = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
-            group = ((gram >> np.uint64(17)) * np.uint64(groups) >> np.uint64(31)).astype(np.int64)
+            some = np.flatnonzero((counts[slots(gram, PREFIX_COUNTERS)] > BLOCK) == frequent)
+            gram, who, pos = gram[some], who[some], pos[some]
+            if frequent:
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(no[who]), pa.array(n[who], pa.int32()), pa.array(pos, pa.int32())], ["gram", "no", "n", "pos"])
+                continue
+            group = ((gram >> np.uint64(33)) * np.uint64(groups) >> np.uint64(31)).astype(np.int64)
             order = np.argsort(group, kind="stable")
             cuts = np.searchsorted(group[order], np.arange(groups + 1))
             some = np.flatnonzero(np.diff(cuts))
@@ -191,7 +196,7 @@ def _candidates(percent: int, few: int):
         many = np.flatnonzero(np.repeat(size > few, size))
         none = lambda k, t=pa.int64(): pa.nulls(k, t)
         pairs = pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), none(len(a)), none(len(a), pa.int32()), none(len(a), pa.int32())], ["a", "b", "gram", "n", "pos"])
-        rest = pa.table([pa.array(no[many], pa.int64()), none(len(many)), pa.array(gram[many].astype(np.int64), pa.int64()), pa.array(n[many], pa.int32()), pa.array(pos[many], pa.int32())], ["a", "b", "gram", "n", "pos"])
+        rest = pa.table([pa.array(no[many], pa.int64()), none(len(many)), pa.array(gram[many].view(np.int64), pa.int64()), pa.array(n[many], pa.int32()), pa.array(pos[many], pa.int32())], ["a", "b", "gram", "n", "pos"])
         return pa.concat_tables([pairs, rest])
 
     return run
@@ -207,8 +212,8 @@ def _frequent(percent: int):
     """Spanning forests of the pairs that pass the filters, among the classes of each frequent n-gram in the table."""
 
     def run(table: pa.Table) -> pa.Table:
-        gram, no, n, pos, own = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "no", "n", "pos", "own"))
-        across = table.num_rows > 0 and table.column("lo")[0] != table.column("hi")[0]
+        gram, no, n, pos, side, label = (table.column(c).to_numpy().astype(np.int64) for c in ("of", "no", "n", "pos", "side", "label"))
+        across = len(side) > 0 and side[0] >= 0
         parity = table.column("parity").to_pylist()
         order = np.lexsort((no, n, gram))
         a, b = [], []
@@ -221,8 +226,8 @@ def _frequent(percent: int):
                 y = who[i:stop]
                 ok = _may_link(n[x][:, None], n[y][None, :], pos[x][:, None], pos[y][None, :], percent)
                 if across:
-                    ok &= own[x][:, None] != own[y][None, :]
-                ok &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+                    ok &= (side[x][:, None] != side[y][None, :]) & (label[x][:, None] != label[y][None, :])
+                ok &= (np.arange(len(x))[:, None] < np.arange(len(y))[None, :]) & (no[x][:, None] != no[y][None, :])
                 r, c = np.nonzero(ok)
                 total = n[x[r]] + n[y[c]]
                 apart = sketch_distances(parity, x[r], y[c])
@@ -269,18 +274,17 @@ def _sketch_filter(percent: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nos, comps, units = (batch.column(c).to_pylist() for c in ("key", "no", "comp", "units"))
-            groups = batch.column("bucket").to_pylist()
+            keys, nos, units = (batch.column(c).to_pylist() for c in ("key", "no", "units"))
             for lo, hi, data, offsets in spans(batch):
                 _, h, first = shingle_sets(data, offsets, k)
                 out = []
                 for r in range(lo, hi):
                     own = h[first[r - lo] : first[r - lo + 1]]
                     if _digest(own) == keys[r]:
-                        out += [(groups[r], u["lo"], u["hi"], u["own"], comps[r], nos[r], own.tobytes()) for u in units[r]]
+                        out += [(*(u[c] for c in UNIT), nos[r], own.tobytes()) for u in units[r]]
                 if out:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "lo", "hi", "own", "comp", "no", "grams"])
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [*UNIT, "no", "grams"])
 
     return run
 
@@ -319,11 +323,12 @@ def spanning(link: np.ndarray) -> np.ndarray:
 
 def _verified(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        comp, no, own = (table.column(c).to_numpy() for c in ("comp", "no", "own"))
-        across = table.num_rows > 0 and table.column("lo")[0] != table.column("hi")[0]
+        comp, no, side, label = (table.column(c).to_numpy() for c in ("of", "no", "side", "label"))
+        across = len(side) > 0 and side[0] >= 0
         sets = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
-        order = np.lexsort((no, comp))
-        order = order[np.append(True, (no[order][1:] != no[order][:-1]))]
+        order = np.lexsort((side, no, comp))
+        same = (no[order][1:] == no[order][:-1]) & (side[order][1:] == side[order][:-1])
+        order = order[np.append(True, ~same)] if len(order) else order
         a, b = [], []
         for who in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
             if len(who) < 2:
@@ -332,7 +337,7 @@ def _verified(percent: int):
             n = np.array([len(sets[i]) for i in who])
             link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
             if across:
-                link &= own[who][:, None] != own[who][None, :]
+                link &= (side[who][:, None] != side[who][None, :]) & (label[who][:, None] != label[who][None, :])
             root = spanning(link)
             away = np.flatnonzero(root != np.arange(len(who)))
             a.append(no[who[away]])
@@ -343,9 +348,35 @@ def _verified(percent: int):
     return run
 
 
-def _units():
-    """The block pairs that a row of block ``own`` of ``blocks`` takes part in."""
-    return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"), F.col("own").alias("own")))
+#: A unit of comparison (bucket, lo, hi); the n-gram or component compared in it; in later units the side and the label so far.
+UNIT = ("bucket", "lo", "hi", "side", "of", "label")
+
+
+def _blocked(members: DataFrame, compare, groups: int, size: int, name: str) -> DataFrame:
+    """Forests (a, b) of the linked pairs among the members (of, no, blocks, ...) of each ``of``; ``compare`` maps units to links."""
+    one = F.lit(1).cast("int")
+    unit = lambda bucket, lo, hi, side, label: [bucket.cast("long").alias("bucket"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), side.cast("int").alias("side"), label.cast("long").alias("label")]
+    single = members.filter("blocks = 1").select("*", *unit(F.pmod(F.xxhash64("of"), F.lit(groups)), -one, -one, -one, F.lit(0)))
+    many = members.filter("blocks > 1")
+    if many.isEmpty():
+        return compare(single)
+    many = many.withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    own = many.select("*", *unit(F.col("of"), F.col("own"), one * 0, -one, F.lit(0)))
+    pivots = many.filter((F.col("own") == 0) & (F.pmod(F.xxhash64("no", F.lit(1)), F.lit(max(1, min(PIVOT_SHARE, size)))) == 0)).withColumn("block", F.explode(F.sequence(one, F.col("blocks") - 1)))
+    pivots = pivots.select("*", *unit(F.col("of"), F.col("block"), one * 0, -one, F.lit(0))).drop("block")
+    first = materialize(compare(single.unionByName(own.drop("own")).unionByName(pivots.drop("own"))), f"{name}-first")
+
+    roots = components(first, name).select(F.col("node").alias("of_no"), "root")
+    many = materialize(many.join(roots, F.col("no") == F.col("of_no"), "left").withColumn("label", F.coalesce("root", "no")).drop("of_no", "root"), f"{name}-labelled")
+    parts = many.groupBy("of", "blocks", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("of", "blocks")
+    parts = parts.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / size).cast("int").alias("rests")).filter("rests > 0")
+    parts = parts.withColumn("in_own", F.explode(F.sequence(one * 0, F.col("blocks") - 1))).select(F.col("of").alias("in_of"), "in_own", "main", "rests")
+    many = many.join(parts, (F.col("of") == F.col("in_of")) & (F.col("own") == F.col("in_own"))).drop("in_of", "in_own")
+    base = many.withColumn("rest", F.explode(F.sequence(one * 0, F.col("rests") - 1)))
+    base = base.select(*members.columns, *unit(F.col("of"), F.col("own"), F.col("rest"), one * 0, F.col("label")))
+    rest = many.filter("label <> main").withColumn("block", F.explode(F.sequence(one * 0, F.col("blocks") - 1)))
+    rest = rest.select(*members.columns, *unit(F.col("of"), F.col("block"), F.pmod(F.xxhash64("no", F.lit(2)), F.col("rests")), one, F.col("label")))
+    return first.union(compare(base.unionByName(rest)))
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, few: int = FEW) -> DataFrame:
@@ -353,61 +384,72 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, few:
     return _linked(docs, shingle, percent, few).select("doc_id", "n_shingles", "component_id")
 
 
-def _row_key():
-    """A key that only rows with the same doc_id and text share."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))
+def _row_key(docs: DataFrame):
+    """A key that only rows which are equal in every column share."""
+    text = F.coalesce("text", F.lit(""))
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    return F.md5(F.concat(others, F.lit("\n"), F.col("text").isNull().cast("string"), text))
 
 
 def _linked(docs: DataFrame, shingle: int, percent: int, few: int = FEW, keyed: bool = False) -> DataFrame:
     """The rows of ``linked`` with the component's number (none for wordless rows) and, if ``keyed``, each row's key."""
     spark = docs.sparkSession
-    own = [_row_key().alias("row_key")] if keyed else []
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own)
-    docs = every.select("doc_id", "text")
+    own = [_row_key(docs).alias("row_key")] if keyed else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own)
     groups = 32 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(gram_counts(docs, shingle))
-    full = docs.mapInArrow(_described(shingle, percent, shared), "doc_id long, n long, key binary, prefix binary, parity binary").filter("n > 0")
-    classes = full.groupBy("key").agg(F.min("doc_id").alias("label"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("pick"), *[F.any_value(c).alias(c) for c in ("n", "prefix", "parity")])
+    shared = spark.sparkContext.broadcast(tally(docs.select("text"), _text_grams(shingle), COUNTERS))
+    schema = "doc_id long, n long, key binary, prefix binary, parity binary" + (", row_key string" if keyed else "")
+    rows = materialize(docs.mapInArrow(_described(shingle, percent, shared), schema), "jaccard-rows")
+    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("label"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("pick"), *[F.any_value(c).alias(c) for c in ("n", "prefix", "parity")])
     classes = materialize(classes.withColumn("no", F.monotonically_increasing_id()), "jaccard-classes")
 
-    postings = classes.select("no", "n", "prefix").mapInArrow(_postings(groups), "group int, gram binary, no binary, n binary, pos binary")
+    prefixes = classes.select("no", "n", "prefix")
+    crowd = spark.sparkContext.broadcast(tally(prefixes.select("prefix"), _prefix_grams, PREFIX_COUNTERS))
+    postings = prefixes.mapInArrow(_postings(groups, crowd, False), "group int, gram binary, no binary, n binary, pos binary")
     met = materialize(postings.groupBy("group").applyInArrow(_candidates(percent, few), "a long, b long, gram long, n int, pos int"), "jaccard-met")
     side = lambda s: classes.select(F.col("no").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
     pairs = met.filter("b IS NOT NULL").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_filter(percent), "a long, b long")
-    often = met.filter("b IS NULL").select(F.col("a").alias("no"), "gram", "n", "pos")
-    counts = often.groupBy(F.col("gram").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    often = often.join(counts, F.col("gram") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
-    often = often.join(classes.select("no", "parity"), "no").withColumn("unit", F.explode(_units()))
-    bucket = F.when(F.col("blocks") > 1, F.col("gram")).otherwise(-1 - F.pmod(F.xxhash64("gram"), F.lit(groups)))
-    often = often.select(bucket.alias("bucket"), "unit.lo", "unit.hi", "unit.own", "gram", "no", "n", "pos", "parity")
-    pairs = pairs.union(often.groupBy("bucket", "lo", "hi").applyInArrow(_frequent(percent), "a long, b long"))
+
+    crowded = prefixes.mapInArrow(_postings(groups, crowd, True), "gram long, no long, n int, pos int")
+    counts = crowded.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("gram").alias("in_gram"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    crowded = crowded.join(counts, (F.col("gram") == F.col("in_gram")) & (F.pmod(F.xxhash64("no"), F.lit(SALTS)) == F.col("salt"))).select("gram", "no", "n", "pos", "blocks")
+    often = met.filter("b IS NULL").select("gram", F.col("a").alias("no"), "n", "pos", F.lit(1).alias("blocks")).unionByName(crowded)
+    often = materialize(often.withColumnRenamed("gram", "of"), "jaccard-often")
+    sketches = classes.select(F.col("no").alias("of_no"), "parity")
+    sketched = lambda units: units.join(sketches, F.col("no") == F.col("of_no")).drop("of_no").groupBy("bucket", "lo", "hi").applyInArrow(_frequent(percent), "a long, b long")
+    pairs = pairs.union(_blocked(often, sketched, groups, BLOCK, "jaccard-often"))
     near = components(pairs, "jaccard-near").withColumnRenamed("root", "comp")
 
     nodes = near.join(classes.select("no", "key", "pick", "n"), F.col("node") == F.col("no"))
-    sizes = nodes.groupBy(F.col("comp").alias("of")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / UNIT_CLASSES, F.sum("n") / UNIT_GRAMS)).cast("int").alias("blocks"))
-    nodes = nodes.join(sizes, F.col("comp") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
-    bucket = F.when(F.col("blocks") > 1, F.col("comp")).otherwise(-1 - F.pmod(F.xxhash64("comp"), F.lit(groups)))
-    nodes = nodes.select("no", "key", "pick", "comp", bucket.alias("bucket"), _units().alias("units"))
-    found = docs.join(nodes, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("pick")).select("text", "no", "key", "comp", "bucket", "units")
-    sets = found.mapInArrow(_sets(shingle), "bucket long, lo int, hi int, own int, comp long, no long, grams binary")
-    links = sets.groupBy("bucket", "lo", "hi").applyInArrow(_verified(percent), "a long, b long")
-    roots = components(links, "jaccard-links").join(classes.select("no", "label"), F.col("node") == F.col("no"))
+    sizes = nodes.groupBy(F.col("comp").alias("in_comp")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / UNIT_CLASSES, F.sum("n") / UNIT_GRAMS)).cast("int").alias("blocks"))
+    nodes = materialize(nodes.join(sizes, F.col("comp") == F.col("in_comp")).select(F.col("comp").alias("of"), "no", "key", "pick", "blocks"), "jaccard-nodes")
+
+    def verified(units: DataFrame) -> DataFrame:
+        per = units.groupBy("no", "key", "pick").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
+        found = docs.select("doc_id", "text").join(per, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("pick")).select("text", "no", "key", "units")
+        sets = found.mapInArrow(_sets(shingle), "bucket long, lo int, hi int, side int, of long, label long, no long, grams binary")
+        return sets.groupBy("bucket", "lo", "hi").applyInArrow(_verified(percent), "a long, b long")
+
+    roots = components(_blocked(nodes, verified, groups, UNIT_CLASSES, "jaccard-large"), "jaccard-links").join(classes.select("no", "label"), F.col("node") == F.col("no"))
     least = roots.groupBy(F.col("root").alias("of")).agg(F.min("label").alias("component_id"))
     changed = roots.join(least, F.col("root") == F.col("of")).select(F.col("no").alias("member"), "component_id", "root")
     named = classes.select("key", "no", "label").join(changed, F.col("no") == F.col("member"), "left")
     named = named.select(F.col("key").alias("of_key"), F.coalesce("component_id", "label").alias("component_id"), F.coalesce("root", "no").alias("component"))
-    rows = every.mapInArrow(_described(shingle, percent, None), "doc_id long, n long, key binary" + (", row_key string" if keyed else ""))
-    out = rows.join(named, (F.col("key") == F.col("of_key")) & (F.col("n") > 0), "left")
+    out = rows.select("doc_id", "n", "key", *(["row_key"] if keyed else [])).join(named, (F.col("key") == F.col("of_key")) & (F.col("n") > 0), "left")
     named = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), named, "component", *(["row_key"] if keyed else []))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (null last), of rows with that doc_id one; all wordless rows."""
+    """One row of each component: that with the smallest doc_id (null last), of rows with that doc_id one; all wordless rows.
+
+    Of rows with the same doc_id the one with the smallest digest over all columns stays, so reruns agree.
+    """
+    docs, names = own_names(docs)
     rows = _linked(docs, shingle, percent, keyed=True).filter("component IS NOT NULL")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
     kept = first.select(F.col("first.row_key").alias("kept_key"))
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    out = docs.filter(worded).withColumn("row_key", _row_key())
+    out = docs.filter(worded).withColumn("row_key", _row_key(docs))
     out = out.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).drop("row_key")
-    return out.union(docs.filter(~worded))
+    return out.union(docs.filter(~worded)).toDF(*names)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vialume.llm.text import span_hashes, spans
+from vialume.llm.text import Bytes, span_hashes, spans
 
 SPACE = "▁"
 #: Units kept for lookup, and the longest of them in bytes; beyond that they are encoded again.
@@ -246,9 +246,7 @@ class PieceTable:
             cut[1:-1] = self.apart_bytes[data[:-1], data[1:]]
         cut[offsets] = True
         edges = np.flatnonzero(cut)
-        code, distinct = pd.factorize(span_hashes(data, edges[:-1], edges[1:]))
-        first = np.full(len(distinct), -1, dtype=np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
+        code, first = distinct_spans(data, edges[:-1], edges[1:])
         raw = data.tobytes()
         ids, texts = self.known([raw[i:j] for i, j in zip(edges[first].tolist(), edges[first + 1].tolist(), strict=True)])
         code, at = code.tolist(), np.searchsorted(edges, offsets).tolist()
@@ -258,6 +256,24 @@ class PieceTable:
             yield joined.count(b","), joined[:-1], decoded[1:] if decoded.startswith(b" ") else decoded
 
 
+def distinct_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, the same for equal bytes alone, and the first span of each number.
+
+    Spans are gathered by hash and compared byte by byte with the first of their hash; the rest are told apart plainly.
+    """
+    read = Bytes(data)
+    code, known = pd.factorize(span_hashes(data, begin, end, 0, read))
+    first = np.full(len(known), -1, dtype=np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    lead = first[code]
+    unlike = np.flatnonzero((end - begin != end[lead] - begin[lead]) | ~read.same(begin, begin[lead], end - begin))
+    more: dict[bytes, int] = {}
+    for i in unlike.tolist():
+        code[i] = more.setdefault(data[begin[i] : end[i]].tobytes(), len(known) + len(more))
+    found = np.array([int(unlike[np.flatnonzero(code[unlike] == c)[0]]) for c in more.values()], dtype=np.int64)
+    return code, np.concatenate([first, found])
+
+
 _tables: dict[str, PieceTable] = {}
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vialume.llm.frames import own_names
 from vialume.llm.store import materialize
 
 #: A maximal run of other characters than space, tab, line feed, vertical tab, form feed and carriage return.
@@ -143,11 +144,12 @@ def _planned(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float,
 
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it is taken, sorted by its first position."""
+    docs, names = own_names(docs)
     numbered = materialize(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-docs")
     plan = _planned(numbered, keep=("mix_row",)).select(F.col("mix_row").alias("of_row"), F.col("copies").alias("mix_copies"), F.col("position_ppm").alias("mix_at")).filter("mix_copies > 0")
     out = numbered.join(plan, F.col("mix_row") == F.col("of_row"))
     out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return out.orderBy("mix_at", F.xxhash64("doc_id", "mix_row", "mix_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.orderBy("mix_at", F.xxhash64("doc_id", "mix_row", "mix_copy")).select(*docs.columns).toDF(*names)
 
 
 def mix_sql(table: str = "documents") -> str:

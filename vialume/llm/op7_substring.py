@@ -2,21 +2,27 @@
 
 A window is ``window`` consecutive words of one document. Two suffixes that share their first ``window`` words meet in
 an internal node at least that deep; every occurrence but the first (smallest doc_id, then start) is a repeat, and the
-words that repeats cover are removed. Trees are cut off at that depth, which is all the rule asks for.
-
-1. Prefixes. In each window the k-word prefix of one suffix stands for it: the one with the smallest hash (leftmost of
-   equals), which equal windows choose alike. Only these suffixes are counted by prefix. A prefix that occurs once has
-   no internal node below it, so its windows need no tree.
-2. Subtrees. The windows left are cut by a longer prefix, their whole first ``window`` words, into groups of a few
-   words' hash range each; a subtree's nodes are runs of equal hashes. Occurrences that share a node in one slice of text
-   are merged before the shuffle, so a passage that many documents share sends one entry a slice.
-3. Repeats go back to their documents, where they become spans of removed words.
-
-Groups are hash ranges (32 a shuffle partition), never one prefix's documents. Texts are shuffled once; the two joins
-share that exchange. Nothing is collected.
+words that repeats cover are removed.
+
+1. Prefixes. In each window one suffix stands for it: that whose first ``PREFIX`` words have the smallest hash (leftmost
+   of equals), which equal windows choose alike. Neighbouring windows mostly share it, so suffixes come in short runs.
+2. Vertical partitioning. Prefixes are tallied over all texts in 2^20 counters. A prefix whose counter stays under the
+   bound of a group keeps its length; its suffixes are counted, and a prefix that occurs once has no internal node below
+   it and needs no tree. A prefix beyond the bound is lengthened to the whole window, so its suffixes spread over as many
+   groups as it has continuations. The number of groups follows from the tally: each has about ``GROUP_ROWS`` runs.
+3. Subtrees. A group holds the runs of its prefixes: for each the place, and for each suffix in it the code of its path
+   down to the window's depth. Sorted by prefix and path, the nodes at that depth are runs of equal codes. Prefix and
+   path, or two lanes for lengthened prefixes, make 128 bits. Occurrences that share a node in one slice of text are merged
+   before the shuffle, and those of lengthened prefixes are merged again in ``SALTS`` parts before they meet, so a passage
+   that every document has leaves no large group.
+4. Repeats go back to their documents as runs of starts, where they become spans of removed words. ``repeats`` gives them
+   as maximal repeats instead: neighbouring nodes with the same displacement to the first occurrence, joined.
+
+Texts are shuffled once; the two joins share that exchange. Only the counters (4 MB) reach the driver.
 
 Null texts have no words. Null doc_ids come before all others. Rows with the same doc_id and text occupy the same places,
-so neither removes the other; rows with the same doc_id and other texts are ordered by the texts' 32-bit hashes. Empty tables
+so neither removes the other; rows with the same doc_id and other texts are ordered by the texts' 64-bit hashes. A text is
+handled whole, at about ten bytes of memory for each of its own; texts of some 100 MB need larger executors. Empty tables
 give empty results. Further columns stay as they are in ``dedup`` and are ignored in ``digests``.
 """
 
@@ -30,35 +36,20 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vialume.llm.text import Words, mix, spans
+from vialume.llm.counters import slots, tally
+from vialume.llm.frames import own_names
+from vialume.llm.store import materialize
+from vialume.llm.text import Words, mix, span_hashes, spans
 
 WINDOW, PREFIX = 20, 8
 NULL_ID = -(1 << 63)
-
-
-def _groups(df: DataFrame) -> int:
-    return 32 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _blobs(group: np.ndarray, n: int, arrays: list[np.ndarray]) -> tuple[pa.Array, list[pa.Array]]:
-    """Rows of arrays that are sorted by group, as one binary value for each group that occurs and array.
-
-    The bytes of signed numbers are stored plane by plane, so that the shuffle's compression sees their zeros.
-    """
-    cuts = np.searchsorted(group, np.arange(n + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    ranges = list(zip(cuts[some].tolist(), cuts[some + 1].tolist(), strict=True))
-    out = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        if a.dtype.kind == "i":
-            planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize)
-            out.append(pa.array([planes[i:j].T.tobytes() for i, j in ranges], pa.binary()))
-        else:
-            raw, w = a.tobytes(), a.dtype.itemsize
-            out.append(pa.array([raw[i * w : j * w] for i, j in ranges], pa.binary()))
-    return pa.array(some, pa.int32()), out
+COUNTERS = 1 << 20
+#: Runs that a group is meant for, and occurrences beyond which a prefix is lengthened.
+GROUP_ROWS, MOST_OCCURRENCES = 250_000, 50_000
+#: Parts in which the occurrences of lengthened prefixes are merged before they meet.
+SALTS = 256
 
 
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -69,8 +60,30 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.zeros(0, kind)
 
 
+def _cut(a: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The ranges of ``a`` between the bounds ``at`` as binary values; signed numbers are stored plane by plane, so that
+    the shuffle's compression sees their zeros."""
+    a = np.ascontiguousarray(a)
+    ranges = zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+    if a.dtype.kind == "i":
+        planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize)
+        return pa.array([planes[i:j].T.tobytes() for i, j in ranges], pa.binary())
+    raw, w = a.tobytes(), a.dtype.itemsize
+    return pa.array([raw[i * w : j * w] for i, j in ranges], pa.binary())
+
+
+def _changes(*arrays: np.ndarray) -> np.ndarray:
+    """The first of each run of equal rows, and the number of rows."""
+    n = len(arrays[0])
+    new = np.ones(n + 1, dtype=bool)
+    new[1:n] = False
+    for a in arrays:
+        new[1:n] |= a[1:] != a[:-1]
+    return np.flatnonzero(new) if n else np.zeros(1, np.int64)
+
+
 class Suffixes:
-    """The windows of a slice: where each starts, its hash, and the place and hash of the prefix that stands for it."""
+    """The windows of a slice: where each starts, and the place and hash of the prefix that stands for it."""
 
     def __init__(self, words: Words, window: int = WINDOW, prefix: int = PREFIX):
         n, row = len(words), words.rows()
@@ -93,11 +106,12 @@ class Suffixes:
             at[less] = self.start[less] + j
         self.at, self.prefix = at, best
 
-    def hashes(self, words: Words, who: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    def paths(self, codes: np.ndarray, who: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """The code of the path of these windows, from the codes of words."""
         h = np.zeros(len(who), dtype=np.uint64)
         for j in range(window):
             h *= np.uint64(0x9FB21C651E98DF25)
-            h += words.hash[self.start[who] + j]
+            h += codes[self.start[who] + j]
         return mix(h)
 
 
@@ -105,30 +119,44 @@ def _group_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
 
 
-def _prefixes(n: int, window: int):
+def _run_prefixes(window: int):
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in spans(batch):
+            s = Suffixes(Words(data, offsets), window)
+            yield s.prefix[_changes(s.at)[:-1]]
+
+    return hashes
+
+
+def _prefixes(n: int, window: int, frequent):
+    """Entries (prefix, document, whether twice in it) by group; a document with frequent prefixes has one entry for all of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd = np.unpackbits(frequent.value).view(bool)
         for batch in batches:
             key, variant = (np.asarray(batch.column(c)) for c in ("key", "variant"))
             for lo, _, data, offsets in spans(batch):
-                words = Words(data, offsets)
-                s = Suffixes(words, window)
-                first = np.flatnonzero(np.diff(s.at, prepend=-1))
+                s = Suffixes(Words(data, offsets), window)
+                first = _changes(s.at)[:-1]
                 doc, h = s.row[s.at[first]], s.prefix[first]
+                often = crowd[slots(h, COUNTERS)]
+                h = np.where(often, np.uint64(0), h)
                 order = np.lexsort((doc, h))
-                doc, h = doc[order], h[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                at = np.flatnonzero(new)
-                often = np.diff(np.append(at, len(h))) > 1
+                doc, h, often = doc[order], h[order], often[order]
+                at = _changes(h, doc)
+                often, at = often[at[:-1]] | (np.diff(at) > 1), at[:-1]
                 doc, h = doc[at], h[at]
-                group, blobs = _blobs(_group_of(h, n), n, [h, key[lo + doc], variant[lo + doc], often])
-                yield pa.RecordBatch.from_arrays([group, *blobs], ["group", "h", "key", "variant", "often"])
+                group = _group_of(np.where(h == 0, mix((key[lo + doc] ^ variant[lo + doc]).view(np.uint64)), h), n)
+                order = np.argsort(group, kind="stable")
+                doc, h, often, group = doc[order], h[order], often[order], group[order]
+                at = _changes(group)
+                yield pa.RecordBatch.from_arrays([pa.array(group[at[:-1]], pa.int32()), *(_cut(x, at) for x in (h, key[lo + doc], variant[lo + doc], often))], ["group", "h", "key", "variant", "often"])
 
     return run
 
 
 def _repeated_prefixes(table: pa.Table) -> pa.Table:
-    h, key, variant, often = (_joined(table.column(c), k) for c, k in (("h", np.uint64), ("key", np.int64), ("variant", np.int32), ("often", bool)))
+    h, key, variant, often = (_joined(table.column(c), k) for c, k in (("h", np.uint64), ("key", np.int64), ("variant", np.int64), ("often", bool)))
     order = np.argsort(h, kind="stable")
     h = h[order]
     same = h[1:] == h[:-1]
@@ -139,13 +167,20 @@ def _repeated_prefixes(table: pa.Table) -> pa.Table:
     h, key, variant = h[twice], key[who], variant[who]
     order = np.lexsort((variant, key))
     h, key, variant = h[order], key[order], variant[order]
-    edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (variant[1:] != variant[:-1]))) if len(h) else np.zeros(0, np.int64)
-    raw, ends = h.tobytes(), np.append(edge, len(h))[1:]
-    return pa.table([pa.array(key[edge], pa.int64()), pa.array(variant[edge], pa.int32()), pa.array([raw[i * 8 : j * 8] for i, j in zip(edge.tolist(), ends.tolist(), strict=True)], pa.binary())], ["of", "of_variant", "prefixes"])
+    at = _changes(key, variant)
+    return pa.table([pa.array(key[at[:-1]], pa.int64()), pa.array(variant[at[:-1]], pa.int64()), _cut(h, at)], ["of", "of_variant", "prefixes"])
+
 
+NAMES = ["group", "salt", "of", "of_variant", "starts", "lengths", "a", "k", "v", "b"]
+#: A row is a document's repeats (of, of_variant, starts, lengths, and where asked for the earlier place in k, v, a), or a group's entries: runs of windows with their prefix
+#: a, place k, v, starts, lengths and the path b of each window. A salt marks groups of lengthened prefixes, whose runs are
+#: single windows with the second lane as a.
+SCHEMA = "group int, salt int, of long, of_variant long, starts binary, lengths binary, a binary, k binary, v binary, b binary"
 
-def _windows(n: int, window: int):
+
+def _windows(n: int, window: int, frequent, places: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd = np.unpackbits(frequent.value).view(bool)
         for batch in batches:
             key, variant = (np.asarray(batch.column(c)) for c in ("key", "variant"))
             lists = batch.column("prefixes")
@@ -154,67 +189,125 @@ def _windows(n: int, window: int):
                 s = Suffixes(words, window)
                 known = np.unique(np.frombuffer(b"".join(b for row in lists[lo:hi].to_pylist() for b in row), dtype=np.uint64))
                 place = np.minimum(np.searchsorted(known, s.prefix), max(len(known) - 1, 0))
-                who = np.flatnonzero(known[place] == s.prefix) if len(known) else np.zeros(0, np.int64)
-                h = s.hashes(words, who, window)
-                doc = s.row[s.start[who]]
-                start = (s.start[who] - words.offsets[doc]).astype(np.int32)
-                k, v = key[lo + doc], variant[lo + doc]
-                order = np.lexsort((start, v, k, h))
-                h, k, v, start = h[order], k[order], v[order], start[order]
-                yield from _settle(h, k, v, start, n)
+                often = crowd[slots(s.prefix, COUNTERS)]
+                own = known[place] == s.prefix if len(known) else np.zeros(len(often), bool)
+                for lengthened in (False, True):
+                    who = np.flatnonzero(often if lengthened else own & ~often)
+                    if not len(who):
+                        continue
+                    b = s.paths(words.hash, who, window)
+                    a = s.paths(span_hashes(data, words.begin, words.end, 1), who, window) if lengthened else s.prefix[who]
+                    doc = s.row[s.start[who]]
+                    start = (s.start[who] - words.offsets[doc]).astype(np.int32)
+                    yield from _settled(a, b, key[lo + doc], variant[lo + doc], start, n, lengthened, places)
+
+    return run
+
+
+def _later(a, b, k, v, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows, the later ones of each node, each one's first, and the firsts."""
+    order = np.lexsort((start, v, k, b, a))
+    at = _changes(a[order], b[order])
+    lead = np.repeat(order[at[:-1]], np.diff(at))
+    later = (k[order] != k[lead]) | (v[order] != v[lead]) | (start[order] != start[lead])
+    return order[later], lead[later], order[at[:-1]]
+
+
+def _runs(*key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Bounds of runs of rows with equal keys whose starts follow each other."""
+    return _changes(*key, start - np.arange(len(start)))
+
+
+def _settled(a, b, k, v, start, n: int, lengthened: bool, places: bool, salted: bool = True) -> Iterator[pa.RecordBatch]:
+    """The repeats among these windows by document, and the firsts of nodes as entries of groups."""
+    later, lead, first = _later(a, b, k, v, start)
+    none = lambda m, t=None: pa.nulls(m, t or pa.binary())
+    yield _repeats(k, v, start, later, lead, n, places)
+    first = np.sort(first)
+    a, b, k, v, start = (x[first] for x in (a, b, k, v, start))
+    runs = np.arange(len(a) + 1) if lengthened else _runs(a, k, v, start=start)
+    size = np.diff(runs)
+    group = _group_of(a[runs[:-1]], n)
+    salt = (mix((k ^ v)[runs[:-1]].view(np.uint64)) % np.uint64(SALTS)).astype(np.int64) if lengthened and salted else np.zeros(len(group), np.int64)
+    order = np.lexsort((salt, group))
+    group, salt, size, begin = group[order], salt[order], size[order], runs[:-1][order]
+    at = _changes(group, salt)
+    each = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+    cells = [_cut(x[begin], at) for x in (a, k, v)]
+    salt = pa.array(salt[at[:-1]], pa.int32()) if lengthened else pa.nulls(len(at) - 1, pa.int32())
+    ends = np.concatenate([[0], np.cumsum(size)])
+    yield pa.RecordBatch.from_arrays([pa.array(group[at[:-1]], pa.int32()), salt, none(len(at) - 1, pa.int64()), none(len(at) - 1, pa.int64()), _cut(start[begin], at), _cut(size.astype(np.int16), at), *cells, _cut(b[each], ends[at])], NAMES)
+
+
+def _repeats(k, v, start, later, lead, n: int, places: bool) -> pa.RecordBatch:
+    """The later windows as runs of starts of each document; with ``places`` also where each run stands earlier."""
+    order = np.lexsort((start[later], v[later], k[later]))
+    later, lead = later[order], lead[order]
+    once = _changes(k[later], v[later], start[later])[:-1]
+    later, lead = later[once], lead[once]
+    before = (k[lead], v[lead], start[lead].astype(np.int64)) if places else ()
+    k, v, start = k[later], v[later], start[later]
+    runs = _runs(k, v, *(before[:2] and (*before[:2], before[2] - start)), start=start)
+    long = np.flatnonzero(np.diff(runs) > 32767)  # lengths are kept in 16 bits
+    if len(long):
+        runs = np.unique(np.concatenate([runs, *[np.arange(runs[i], runs[i + 1], 32767) for i in long.tolist()]]))
+    size, begin = np.diff(runs), runs[:-1]
+    k, v, start = k[begin], v[begin], start[begin]
+    at = _changes(k, v)
+    m = len(at) - 1
+    cells = [_cut(x[begin], at) for x in (before[2].astype(np.uint64), *before[:2])] if places else [pa.nulls(m, pa.binary())] * 3
+    k, v = k[at[:-1]], v[at[:-1]]
+    group = _group_of(mix((k ^ v).view(np.uint64)), n)
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.nulls(m, pa.int32()), pa.array(k, pa.int64()), pa.array(v, pa.int64()), _cut(start, at), _cut(size.astype(np.int16), at), *cells, pa.nulls(m, pa.binary())], NAMES)
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
+    a, k, v, start, size, b = (_joined(table.column(c), t) for c, t in (("a", np.uint64), ("k", np.int64), ("v", np.int64), ("starts", np.int32), ("lengths", np.int16), ("b", np.uint64)))
+    size = size.astype(np.int64)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(a, size), b, np.repeat(k, size), np.repeat(v, size), (np.repeat(start, size) + within).astype(np.int32)
+
+
+def _merged(n: int, places: bool):
+    """One part of a group of lengthened prefixes: the repeats in it, and the firsts for the whole group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(_settled(*_entries(table), n, True, places, salted=False)))
+
+    return run
+
+
+def _nodes(places: bool):
+    """The repeats of a group's subtrees, beside those that were found before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        entry = pa.compute.is_valid(table.column("b"))
+        a, b, k, v, start = _entries(table.filter(entry))
+        later, lead, _ = _later(a, b, k, v, start)
+        found = pa.Table.from_batches([_repeats(k, v, start, later, lead, 1, places)])
+        return pa.concat_tables([table.filter(pa.compute.invert(entry)).select(NODE), found.select(NODE)])
 
     return run
 
 
-def _settle(h, k, v, start, n: int | None) -> Iterator[pa.RecordBatch]:
-    """For windows sorted by hash and place: the later ones of each node as repeats; with n, the first ones as entries of groups."""
-    node = np.ones(len(h), dtype=bool)
-    node[1:] = h[1:] != h[:-1]
-    first = np.flatnonzero(node)
-    lead = first[np.cumsum(node) - 1] if len(h) else first
-    later = np.flatnonzero((k != k[lead]) | (v != v[lead]) | (start != start[lead]))
-    order = later[np.lexsort((start[later], v[later], k[later]))]
-    rk, rv, rs = k[order], v[order], start[order]
-    edge = np.flatnonzero(np.append(True, (rk[1:] != rk[:-1]) | (rv[1:] != rv[:-1]))) if len(rk) else np.zeros(0, np.int64)
-    raw, ends = rs.tobytes(), np.append(edge, len(rk))[1:]
-    starts = pa.array([raw[i * 4 : j * 4] for i, j in zip(edge.tolist(), ends.tolist(), strict=True)], pa.binary())
-    if n is None:
-        yield pa.RecordBatch.from_arrays([pa.array(rk[edge], pa.int64()), pa.array(rv[edge], pa.int32()), starts], ["of", "of_variant", "starts"])
-        return
-    none = lambda m: pa.nulls(m, pa.binary())
-    group = pa.array(_group_of(mix(rk[edge].astype(np.uint64)), n), pa.int32())
-    yield pa.RecordBatch.from_arrays([group, pa.array(rk[edge], pa.int64()), pa.array(rv[edge], pa.int32()), starts, *[none(len(edge))] * 3], WINDOW_NAMES)
-    h, k, v, start = h[first], k[first], v[first], start[first]
-    group, (h, k, v, start) = _blobs(_group_of(h, n), n, [h, k, v, start])
-    yield pa.RecordBatch.from_arrays([group, pa.nulls(len(group), pa.int64()), pa.nulls(len(group), pa.int32()), start, h, k, v], WINDOW_NAMES)
-
-
-WINDOW_NAMES = ["group", "of", "of_variant", "starts", "h", "k", "v"]
-WINDOW_SCHEMA = "group int, of long, of_variant int, starts binary, h binary, k binary, v binary"
-
-
-def _nodes(table: pa.Table) -> pa.Table:
-    entry = pa.compute.is_valid(table.column("h"))
-    done, open_ = table.filter(pa.compute.invert(entry)), table.filter(entry)
-    h, k, v, start = (_joined(open_.column(c), t) for c, t in (("h", np.uint64), ("k", np.int64), ("v", np.int32), ("starts", np.int32)))
-    order = np.lexsort((start, v, k, h))
-    names = ["of", "of_variant", "starts"]
-    return pa.concat_tables([done.select(names), pa.Table.from_batches(list(_settle(h[order], k[order], v[order], start[order], None)))])
+#: Columns of found repeats.
+NODE = ["of", "of_variant", "starts", "lengths", "a", "k", "v"]
+NODE_SCHEMA = "of long, of_variant long, starts binary, lengths binary, a binary, k binary, v binary"
 
 
 def _kept(window: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("repeats")
+            lists, sizes = batch.column("repeats"), batch.column("sizes")
             n_words, n_removed, out = [], [], []
             for lo, hi, data, offsets in spans(batch):
                 words = Words(data, offsets)
                 change = np.zeros(len(words) + 1, dtype=np.int32)
-                for r, row in enumerate(lists[lo:hi].to_pylist()):
+                for r, (row, size) in enumerate(zip(lists[lo:hi].to_pylist(), sizes[lo:hi].to_pylist(), strict=True)):
                     if row:
-                        at = np.unique(np.frombuffer(b"".join(row), dtype=np.int32)) + words.offsets[r]
+                        at = _joined(pa.chunked_array([row], pa.binary()), np.int32) + words.offsets[r]
                         np.add.at(change, at, 1)
-                        np.add.at(change, at + window, -1)
+                        np.add.at(change, at + _joined(pa.chunked_array([size], pa.binary()), np.int16) + (window - 1), -1)
                 kept = change[:-1].cumsum() == 0
                 total = words.counts()
                 begin, end = words.begin[kept], words.end[kept]
@@ -232,7 +325,7 @@ def _kept(window: int, digest: bool):
                     same = (total == np.diff(edge)).tolist()
                     out += [None if s else raw[i : max(i, j - 1)].decode() for s, i, j in zip(same, stop[:-1].tolist(), stop[1:].tolist(), strict=True)]
             counts = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (n_words, n_removed)]
-            keep = [c for c in batch.schema.names if c not in ("key", "variant", "repeats", "of", "of_variant") and (c != "text" or not digest)]
+            keep = [c for c in batch.schema.names if c not in ("key", "variant", "repeats", "sizes", "of", "of_variant") and (c != "text" or not digest)]
             columns = [batch.column(c) for c in keep]
             if not digest:
                 at = keep.index("text")
@@ -245,30 +338,68 @@ def _kept(window: int, digest: bool):
     return run
 
 
-def _marked(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` with key, variant and the starts of their repeats; all texts go through one exchange."""
-    n = _groups(docs)
-    docs = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.hash("text").alias("variant"))
-    prefixes = docs.select("key", "variant", "text").mapInArrow(_prefixes(n, window), "group int, h binary, key binary, variant binary, often binary")
-    found = prefixes.groupBy("group").applyInArrow(_repeated_prefixes, "of long, of_variant int, prefixes binary")
+def _partitioned(docs: DataFrame, window: int, most: int | None, places: bool):
+    """The documents with key and variant, the repeats that the subtrees give, and the condition that joins them."""
+    spark = docs.sparkSession
+    counts = tally(docs.select("text"), _run_prefixes(window), COUNTERS)
+    total = int(counts.sum())
+    n = max(32 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_ROWS)
+    crowd = counts > max(MOST_OCCURRENCES if most is None else most, 4 * total // COUNTERS)
+    frequent = spark.sparkContext.broadcast(np.packbits(crowd))
+    docs = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64("text").alias("variant"))
+    prefixes = docs.select("key", "variant", "text").mapInArrow(_prefixes(n, window, frequent), "group int, h binary, key binary, variant binary, often binary")
+    found = prefixes.groupBy("group").applyInArrow(_repeated_prefixes, "of long, of_variant long, prefixes binary")
     found = found.groupBy("of", "of_variant").agg(F.collect_list("prefixes").alias("prefixes"))
     here = (F.col("key") == F.col("of")) & (F.col("variant") == F.col("of_variant"))
-    windows = docs.join(found.hint("shuffle_merge"), here).select(*docs.columns, "prefixes").mapInArrow(_windows(n, window), WINDOW_SCHEMA)
-    repeats = windows.groupBy("group").applyInArrow(_nodes, "of long, of_variant int, starts binary")
-    repeats = repeats.groupBy("of", "of_variant").agg(F.collect_list("starts").alias("repeats"))
-    return docs.join(repeats.hint("shuffle_merge"), here, "left")
+    windows = docs.join(found.hint("shuffle_merge"), here).select(*docs.columns, "prefixes").mapInArrow(_windows(n, window, frequent, places), SCHEMA)
+    if crowd.any():
+        windows = materialize(windows, "substring-windows")
+        merged = windows.filter("salt IS NOT NULL").groupBy("group", "salt").applyInArrow(_merged(n, places), SCHEMA)
+        windows = windows.filter("salt IS NULL").unionByName(materialize(merged, "substring-merged"))
+    return docs, windows.groupBy("group", "salt").applyInArrow(_nodes(places), NODE_SCHEMA), here
 
 
-def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, kept_sha256, n_words, n_removed) per row of ``docs`` (doc_id, text)."""
-    marked = _marked(docs.select("doc_id", "text"), window)
+def _marked(docs: DataFrame, window: int, most: int | None = None) -> DataFrame:
+    """``docs`` with key, variant and the runs of their repeats' starts; all texts go through one exchange."""
+    docs, nodes, here = _partitioned(docs, window, most, False)
+    nodes = nodes.groupBy("of", "of_variant").agg(F.collect_list("starts").alias("repeats"), F.collect_list("lengths").alias("sizes"))
+    return docs.join(nodes.hint("shuffle_merge"), here, "left")
+
+
+def digests(docs: DataFrame, window: int = WINDOW, most: int | None = None) -> DataFrame:
+    """(doc_id, kept_sha256, n_words, n_removed) per row of ``docs`` (doc_id, text); ``most``: occurrences of a prefix before it is lengthened."""
+    marked = _marked(docs.select("doc_id", "text"), window, most)
     return marked.mapInArrow(_kept(window, True), "doc_id long, kept_sha256 string, n_words long, n_removed long")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeats removed from ``text`` (kept words joined by one space; texts without repeats stay as they are)."""
-    names = [f"c{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)]
-    out = _marked(docs.toDF(*names), window)
-    schema = docs.toDF(*names).schema.add("n_words", "long").add("n_removed", "long")
-    out = out.mapInArrow(_kept(window, False), schema)
-    return out.select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)])
+    docs, names = own_names(docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    out = _marked(docs, window).mapInArrow(_kept(window, False), schema)
+    return out.select(*docs.columns).toDF(*names)
+
+
+def _maximal(window: int):
+    """One document's runs, neighbours with one displacement joined."""
+
+    def run(table: pa.Table) -> pa.Table:
+        start, size, at, key, variant = (_joined(table.column(c), t) for c, t in (("starts", np.int32), ("lengths", np.int16), ("a", np.uint64), ("k", np.int64), ("v", np.int64)))
+        start, at = start.astype(np.int64), at.astype(np.int64)
+        order = np.lexsort((start, at - start, variant, key))
+        start, end, at, key, variant = start[order], (start + size)[order], at[order], key[order], variant[order]
+        joins = _changes(key, variant, at - start, np.cumsum(np.append(True, start[1:] != end[:-1])))
+        first, last = joins[:-1], joins[1:] - 1
+        keys = [pa.array(np.full(len(first), table.column(c)[0].as_py())) for c in ("of", "of_variant")]
+        return pa.table([*keys, *(pa.array(x, pa.int64()) for x in (start[first], end[last] - start[first] + window - 1, key[first], variant[first], at[first]))], ["of", "of_variant", "start", "n_words", "earlier", "earlier_variant", "earlier_start"])
+
+    return run
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, most: int | None = None) -> DataFrame:
+    """(doc_id, start, n_words, earlier_doc_id, earlier_start, earlier_variant): the maximal repeats of at least ``window``
+    words against an earlier occurrence, in word positions; the earlier text's 64-bit hash tells rows with one doc_id apart."""
+    _, nodes, _ = _partitioned(docs.select("doc_id", "text"), window, most, True)
+    found = nodes.groupBy("of", "of_variant").applyInArrow(_maximal(window), "of long, of_variant long, start long, n_words long, earlier long, earlier_variant long, earlier_start long")
+    named = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return found.select(named("of").alias("doc_id"), "start", "n_words", named("earlier").alias("earlier_doc_id"), "earlier_start", "earlier_variant")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vialume.llm.frames import own_names
 from vialume.llm.store import materialize
 from vialume.llm.text import IS_WORD, Words, mix, spans
 
@@ -229,5 +230,6 @@ def rules(docs: DataFrame, reach: float = REACH) -> DataFrame:
 
 def filter_documents(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
+    docs, names = own_names(docs)
     kept = _judged(docs, reach).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("variant").alias("kept_variant")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_variant")), "left_semi")
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_variant")), "left_semi").toDF(*names)

@@ -6,6 +6,7 @@ a slice of rows, so no Python object per word is made. Null texts count as empty
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,39 +18,15 @@ SLICE_BYTES = 2 << 20
 #: Rows handled at once.
 SLICE_ROWS = 1 << 13
 
-_M64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _splitmix(n: int, seed: int) -> np.ndarray:
-    out, x = [], seed
-    for _ in range(n):
-        x = (x + 0x9E3779B97F4A7C15) & _M64
-        z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M64
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _M64
-        out.append(z ^ (z >> 31))
-    return np.array(out, dtype=np.uint64)
-
-
-BYTE_CODES = _splitmix(256, 7)
-FOLDED_CODES = BYTE_CODES.copy()
-FOLDED_CODES[65:91] = BYTE_CODES[97:123]
+#: A-Z as a-z, other bytes as they are.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64; kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1024, 1 << (n - 1).bit_length())
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+#: Spans above this many bytes are hashed one by one with BLAKE2b, shorter ones eight bytes at a time.
+LONG_SPAN = 256
+#: Odd multipliers and start of each of the two independent lanes of a 128-bit hash.
+LANES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x243F6A8885A308D3), (0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407, 0x13198A2E03707344))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -86,23 +63,63 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes have equal hashes, wherever they stand."""
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    if n:
-        np.cumsum(codes[data] * powers(_BASE, n), out=sums[1:])
-    h = sums[end] - sums[begin]
-    if len(h):
-        h *= powers(pow(_BASE, -1, 1 << 64), n + 1)[begin]
-    h += (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+class Bytes:
+    """Text bytes that can be read eight at a time from any position."""
+
+    def __init__(self, data: np.ndarray):
+        self.size = len(data)
+        self._padded = np.concatenate([data, np.zeros(8, np.uint8)])
+
+    def eight(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The (at most) eight bytes at each position as a number; only ``left`` of them count."""
+        rows = np.lib.stride_tricks.sliding_window_view(self._padded, 8)[at]
+        chunk = np.ascontiguousarray(rows).view(np.uint64).ravel()
+        drop = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+        return chunk << drop
+
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the spans of ``size`` bytes at ``a`` and at ``b`` are equal, byte by byte."""
+        out = np.ones(len(a), dtype=bool)
+        who = np.flatnonzero((size > 0) & (a != b))
+        long = size[who] > LONG_SPAN
+        for i in who[long].tolist():
+            out[i] = np.array_equal(self._padded[a[i] : a[i] + size[i]], self._padded[b[i] : b[i] + size[i]])
+        who, done = who[~long], 0
+        while len(who):
+            left = size[who] - done
+            out[who] &= self.eight(a[who] + done, left) == self.eight(b[who] + done, left)
+            done += 8
+            who = who[(left > 8) & out[who]]
+        return out
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0, read: Bytes | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans: equal bytes have equal hashes, wherever they stand.
+
+    Each eight bytes pass a non-linear step, so no structure of the text (as of Thue-Morse words) makes hashes equal.
+    The two lanes are independent; together they are a 128-bit hash.
+    """
+    times, by_size, start = (np.uint64(x) for x in LANES[lane])
+    size = end - begin
+    h = start ^ size.astype(np.uint64) * by_size
+    read = read or Bytes(data)
+    long = np.flatnonzero(size > LONG_SPAN)
+    for i in long.tolist():
+        digest = hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=16).digest()
+        h[i] ^= np.uint64(int.from_bytes(digest[8 * lane : 8 * lane + 8], "little"))
+    who, done = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(who):
+        left = size[who] - done
+        h[who] = mix(h[who] ^ read.eight(begin[who] + done, left) * times)
+        done += 8
+        who = who[left > 8]
     return mix(h)
 
 
 class Words:
-    """The words of a slice of rows: byte spans, 64-bit hashes, and the first word of each row."""
+    """The words of a slice of rows: byte spans, 64-bit hashes (with ``wide`` a second, independent lane), and the first word of each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = BYTE_CODES):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, wide: bool = False):
         n = len(data)
         inside = IS_WORD[data]
         first = np.zeros(n + 1, dtype=bool)
@@ -115,7 +132,10 @@ class Words:
         self.begin = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.offsets = np.searchsorted(self.begin, offsets)
-        self.hash = span_hashes(data, self.begin, self.end, codes)
+        seen = FOLD[data] if fold else data
+        read = Bytes(seen)
+        self.hash = span_hashes(seen, self.begin, self.end, 0, read)
+        self.hash2 = span_hashes(seen, self.begin, self.end, 1, read) if wide else None
 
     def __len__(self) -> int:
         return len(self.begin)
