@@ -173,8 +173,8 @@ def _repeated_prefixes(table: pa.Table) -> pa.Table:
 
 NAMES = ["group", "salt", "of", "of_variant", "starts", "lengths", "a", "k", "v", "b"]
 #: A row is a document's repeats (of, of_variant, starts, lengths, and where asked for the earlier place in k, v, a), or a group's entries: runs of windows with their prefix
-#: a, place k, v, starts, lengths and the path b of each window. A salt marks groups of lengthened prefixes, whose runs are
-#: single windows with the second lane as a.
+#: a, place k, v, starts, lengths and the path b of each window. A salt marks the parts of groups of lengthened prefixes (0: parts that
+#: meet), whose runs are single windows with the second lane as a.
 SCHEMA = "group int, salt int, of long, of_variant long, starts binary, lengths binary, a binary, k binary, v binary, b binary"
 
 
@@ -228,7 +228,7 @@ def _settled(a, b, k, v, start, n: int, lengthened: bool, places: bool, salted:
     runs = np.arange(len(a) + 1) if lengthened else _runs(a, k, v, start=start)
     size = np.diff(runs)
     group = _group_of(a[runs[:-1]], n)
-    salt = (mix((k ^ v)[runs[:-1]].view(np.uint64)) % np.uint64(SALTS)).astype(np.int64) if lengthened and salted else np.zeros(len(group), np.int64)
+    salt = (mix((k ^ v)[runs[:-1]].view(np.uint64)) % np.uint64(SALTS)).astype(np.int64) + 1 if lengthened and salted else np.zeros(len(group), np.int64)
     order = np.lexsort((salt, group))
     group, salt, size, begin = group[order], salt[order], size[order], runs[:-1][order]
     at = _changes(group, salt)
@@ -268,33 +268,23 @@ def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
     return np.repeat(a, size), b, np.repeat(k, size), np.repeat(v, size), (np.repeat(start, size) + within).astype(np.int32)
 
 
-def _merged(n: int, places: bool):
-    """One part of a group of lengthened prefixes: the repeats in it, and the firsts for the whole group."""
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_settled(*_entries(table), n, True, places, salted=False)))
-
-    return run
-
-
-def _nodes(places: bool):
-    """The repeats of a group's subtrees, beside those that were found before."""
+def _nodes(n: int, places: bool):
+    """The repeats of a group's subtrees, beside those that were found before; a part of a group of lengthened prefixes
+    also gives its firsts, which still have to meet those of the other parts."""
 
     def run(table: pa.Table) -> pa.Table:
         entry = pa.compute.is_valid(table.column("b"))
-        a, b, k, v, start = _entries(table.filter(entry))
-        later, lead, _ = _later(a, b, k, v, start)
-        found = pa.Table.from_batches([_repeats(k, v, start, later, lead, 1, places)])
-        return pa.concat_tables([table.filter(pa.compute.invert(entry)).select(NODE), found.select(NODE)])
+        found = _entries(table.filter(entry))
+        if (pa.compute.max(table.column("salt")).as_py() or 0) > 0:
+            rows = list(_settled(*found, n, True, places, salted=False))
+        else:
+            later, lead, _ = _later(*found)
+            rows = [_repeats(*found[2:], later, lead, n, places)]
+        return pa.concat_tables([table.filter(pa.compute.invert(entry)), pa.Table.from_batches(rows)])
 
     return run
 
 
-#: Columns of found repeats.
-NODE = ["of", "of_variant", "starts", "lengths", "a", "k", "v"]
-NODE_SCHEMA = "of long, of_variant long, starts binary, lengths binary, a binary, k binary, v binary"
-
-
 def _kept(window: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,11 +342,11 @@ def _partitioned(docs: DataFrame, window: int, most: int | None, places: bool):
     found = found.groupBy("of", "of_variant").agg(F.collect_list("prefixes").alias("prefixes"))
     here = (F.col("key") == F.col("of")) & (F.col("variant") == F.col("of_variant"))
     windows = docs.join(found.hint("shuffle_merge"), here).select(*docs.columns, "prefixes").mapInArrow(_windows(n, window, frequent, places), SCHEMA)
+    nodes = windows.groupBy("group", "salt").applyInArrow(_nodes(n, places), SCHEMA)
     if crowd.any():
-        windows = materialize(windows, "substring-windows")
-        merged = windows.filter("salt IS NOT NULL").groupBy("group", "salt").applyInArrow(_merged(n, places), SCHEMA)
-        windows = windows.filter("salt IS NULL").unionByName(materialize(merged, "substring-merged"))
-    return docs, windows.groupBy("group", "salt").applyInArrow(_nodes(places), NODE_SCHEMA), here
+        nodes = materialize(nodes, "substring-nodes")
+        nodes = nodes.filter("b IS NULL").unionByName(nodes.filter("b IS NOT NULL").groupBy("group", "salt").applyInArrow(_nodes(n, places), SCHEMA))
+    return docs, nodes.drop("group", "salt", "b"), here
 
 
 def _marked(docs: DataFrame, window: int, most: int | None = None) -> DataFrame:
