@@ -40,7 +40,6 @@ from pyspark.sql import types as T
 
 from vialume.llm.counters import slots, tally
 from vialume.llm.frames import own_names
-from vialume.llm.store import materialize
 from vialume.llm.text import Words, mix, span_hashes, spans
 
 WINDOW, PREFIX = 20, 8
@@ -343,9 +342,8 @@ def _partitioned(docs: DataFrame, window: int, most: int | None, places: bool):
     here = (F.col("key") == F.col("of")) & (F.col("variant") == F.col("of_variant"))
     windows = docs.join(found.hint("shuffle_merge"), here).select(*docs.columns, "prefixes").mapInArrow(_windows(n, window, frequent, places), SCHEMA)
     nodes = windows.groupBy("group", "salt").applyInArrow(_nodes(n, places), SCHEMA)
-    if crowd.any():
-        nodes = materialize(nodes, "substring-nodes")
-        nodes = nodes.filter("b IS NULL").unionByName(nodes.filter("b IS NOT NULL").groupBy("group", "salt").applyInArrow(_nodes(n, places), SCHEMA))
+    if crowd.any():  # the firsts of parts meet; repeats pass through, so that the plan still reads the texts' one exchange
+        nodes = nodes.groupBy("group", "salt").applyInArrow(_nodes(n, places), SCHEMA)
     return docs, nodes.drop("group", "salt", "b"), here
 
 
