@@ -49,6 +49,8 @@ BLOCK = 4096
 UNIT_CLASSES, UNIT_GRAMS = 512, 2_000_000
 #: One of so many classes of the first block is a pivot.
 PIVOT_SHARE = 16
+#: Bits of the map of documents whose sets are verified.
+ID_BITS = 1 << 24
 #: Parts into which the join of a frequent n-gram's postings with its count is dealt.
 SALTS = 64
 NULL_ID = -(1 << 63)
@@ -348,6 +350,22 @@ def _verified(percent: int):
     return run
 
 
+def _chosen(docs: DataFrame, picks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be among ``picks``: by a bitmap of 2^24 hashed ids (2 MB, whatever the input),
+    so that few texts but the needed ones are shuffled. A full bitmap only lets more rows through."""
+    spark, slot = docs.sparkSession, lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS)).cast("int").alias("slot")
+    bits = np.zeros(ID_BITS, dtype=bool)
+    bits[picks.select(slot("pick")).distinct().toArrow().column("slot").to_numpy()] = True
+    shared = spark.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("slot"))
+            yield batch.select(["doc_id", "text"]).filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return docs.select("doc_id", "text", slot("doc_id")).mapInArrow(run, "doc_id long, text string")
+
+
 #: A unit of comparison (bucket, lo, hi); the n-gram or component compared in it; in later units the side and the label so far.
 UNIT = ("bucket", "lo", "hi", "side", "of", "label")
 
@@ -426,7 +444,8 @@ def _linked(docs: DataFrame, shingle: int, percent: int, few: int = FEW, keyed:
 
     def verified(units: DataFrame) -> DataFrame:
         per = units.groupBy("no", "key", "pick").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
-        found = docs.select("doc_id", "text").join(per, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("pick")).select("text", "no", "key", "units")
+        named = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
+        found = _chosen(named, per.select("pick")).join(per.hint("shuffle_merge"), F.col("doc_id") == F.col("pick")).select("text", "no", "key", "units")
         sets = found.mapInArrow(_sets(shingle), "bucket long, lo int, hi int, side int, of long, label long, no long, grams binary")
         return sets.groupBy("bucket", "lo", "hi").applyInArrow(_verified(percent), "a long, b long")
 
