@@ -267,12 +267,30 @@ def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
     return np.repeat(a, size), b, np.repeat(k, size), np.repeat(v, size), (np.repeat(start, size) + within).astype(np.int32)
 
 
+def _gathered(table: pa.Table, places: bool) -> pa.Table:
+    """Rows of repeats with one row for each document."""
+    of, variant = (table.column(c).to_numpy() for c in ("of", "of_variant"))
+    kinds = {"starts": np.int32, "lengths": np.int16} | ({"a": np.uint64, "k": np.int64, "v": np.int64} if places else {})
+    size = np.array([len(x) // 4 for x in table.column("starts").to_pylist()], dtype=np.int64)
+    row = np.repeat(np.arange(len(of)), size)
+    order = np.lexsort((variant[row], of[row]))
+    row = row[order]
+    at = _changes(of[row], variant[row])
+    one = row[at[:-1]]
+    cells = {c: _cut(_joined(table.column(c), t)[order], at) for c, t in kinds.items()}
+    m = len(one)
+    cells |= {"group": table.column("group").take(pa.array(one)), "of": pa.array(of[one], pa.int64()), "of_variant": pa.array(variant[one], pa.int64()), "salt": pa.nulls(m, pa.int32())}
+    return pa.table([cells.get(c, pa.nulls(m, pa.binary())) for c in NAMES], NAMES)
+
+
 def _nodes(n: int, places: bool):
     """The repeats of a group's subtrees, beside those that were found before; a part of a group of lengthened prefixes
     also gives its firsts, which still have to meet those of the other parts."""
 
     def run(table: pa.Table) -> pa.Table:
         entry = pa.compute.is_valid(table.column("b"))
+        if not pa.compute.any(entry).as_py():
+            return _gathered(table, places)
         found = _entries(table.filter(entry))
         if (pa.compute.max(table.column("salt")).as_py() or 0) > 0:
             rows = list(_settled(*found, n, True, places, salted=False))
