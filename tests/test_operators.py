@@ -208,3 +208,116 @@ def test_losses_without_neighbours(spark):
 def test_unknown_sign(spark):
     with pytest.raises(ValueError):
         evaluate._violation("other")
+
+
+def test_relaxation_and_kernel_agree_on_fractional_weights(spark):
+    e = spark.createDataFrame([(0, 1, 0.6), (1, 2, 0.7), (0, 2, 2.0)], "u long, v long, w double")
+    nodes, src = spark.range(3).withColumnRenamed("id", "node_id"), spark.createDataFrame([(0,)], "source long")
+    a, b = (relax.shortest(e, nodes, src, m) for m in ("kernel", "relaxation"))
+    assert a.schema["d"].dataType == b.schema["d"].dataType
+    assert sorted(r["d"] for r in a.collect()) == sorted(r["d"] for r in b.collect()) == pytest.approx([0, 0.6, 1.3])
+
+
+def test_relaxation_leaves_one_table(spark):
+    from pathlib import Path
+
+    from vialume.plans.store import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    nodes = spark.range(20).withColumnRenamed("id", "node_id")
+    out = relax.shortest(_frame(spark, random_graph(5, 20, 0.15)), nodes, spark.createDataFrame([(0,)], "source long"), "relaxation")
+    assert out.count() and len(set(folder.iterdir()) - before) == 1
+
+
+@pytest.mark.parametrize("shape", ["even", "clustered", "line", "one"])
+def test_nearest_anchor_is_brute_force(spark, shape):
+    rng = random.Random(shape)
+    make = {
+        "even": lambda k: (rng.random(), rng.random(), rng.random() < 0.1),
+        "clustered": lambda k: (rng.gauss(k % 3 * 10, 0.01), rng.gauss(0, 0.01), rng.random() < 0.2 and k % 3 == 0),
+        "line": lambda k: (float(k), 0.0, k % 50 == 0),
+        "one": lambda k: (rng.random(), rng.random(), k == 7),
+    }[shape]
+    rows = [(k, *make(k)) for k in range(400)]
+    anchors = [r for r in rows if r[3]]
+    got = dict(map(tuple, potentials.nearest_anchor(spark.createDataFrame(rows, "node_id long, y double, x double, anchor boolean")).collect()))
+    assert got == {k: min(((y - b) ** 2 + (x - c) ** 2, a) for a, b, c, _ in anchors)[1] for k, y, x, flag in rows if not flag}
+
+
+def test_models_come_back(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id AS node_id", "id % 7 AS target_id", "id / 10.0D AS node_lat", "id % 13 / 1.0D AS node_lon", "0.0D AS target_lat", "0.0D AS target_lon", "id * 1.0D AS haversine_dist_m", "id * 2.0D AS tempo_reale_s")
+    rounds = []
+    train = rows.withColumn("row_id", F.col("node_id"))
+    near = train.withColumn("peso", F.lit(1.0))
+    both = [learning.train_standard(rows, rounds=2, depth=2)[0], learning.boost(train, near, lambda p, h, t: datasets.mean_loss(p, h, 0.5), learning.inputs(rows), rounds=10, rate=0.5, depth=2, on_round=lambda t, m: rounds.append((t, len(m.trees))))]
+    assert rounds == [(t, t + 1) for t in range(10)]
+    for k, model in enumerate(both):
+        model.save(spark, f"file://{tmp_path}/{k}")
+        again = learning.load_model(spark, f"file://{tmp_path}/{k}")
+        ask = lambda m: {r["node_id"]: r["prediction"] for r in m.transform(rows).collect()}
+        assert ask(model) == ask(again) and again.columns == learning.BASE
+    close = both[1].transform(rows).selectExpr("avg(abs(prediction - tempo_reale_s)) AS e").collect()[0]["e"]
+    assert close < 40
+
+
+def test_boosting_adds_one_tree_a_round(spark):
+    """Kept estimates equal those of all trees applied anew."""
+    rows = spark.range(60).selectExpr("id AS row_id", "id * 1.0D AS x", "pow(id, 2) AS tempo_reale_s")
+    near = rows.withColumn("peso", F.lit(5.0))
+    seen = []
+
+    def objective(p, h, t):
+        seen.append({r["row_id"]: r["p"] for r in p.collect()})
+        return datasets.bellman_min_loss(p, h, 0.5)
+
+    model = learning.boost(rows, near, objective, ["x"], rounds=18, rate=0.3, depth=2)
+    for t in (0, 7, 8, 9, 17):
+        part = learning.Trees(["x"], 0.0, 0.3, model.trees[:t]).transform(rows).collect()
+        assert all(abs(r["prediction"] - seen[t][r["row_id"]]) < 1e-6 for r in part)
+
+
+def test_bellman_losses_agree(spark):
+    rows = spark.createDataFrame([(1, 9.0, 1.0), (2, 5.0, 2.0), (3, 1.0, 0.0)], "row_id long, p double, y double")
+    near = spark.createDataFrame([(1, 2.0, 3.0), (1, 1.0, 9.0), (2, float("inf"), 0.0)], "row_id long, peso double, h double")
+    wide = rows.join(near.groupBy("row_id").agg(F.collect_list("peso").alias("pesi"), F.collect_list("h").alias("stime")), "row_id", "left")
+    a, b = (sorted(map(tuple, x.collect())) for x in (datasets.bellman_min_loss(rows, near), datasets.bellman_loss(wide)))
+    assert a == b == [(1, 12.0, 2.0), (2, 3.0, 1.0), (3, 1.0, 1.0)]
+
+
+def test_neighbours_of_the_own_period(spark):
+    nodes = spark.createDataFrame([(k, 45.0 + k, 11.0) for k in range(4)], "node_id long, y double, x double")
+    graph = lambda w: Graph(nodes, spark.createDataFrame([(0, 1, 0, w), (0, 2, 0, w + 10), (0, 2, 1, 1)], "u long, v long, key int, travel_time_d long"))
+    rows = spark.createDataFrame([(5, 0, 3, 0.0), (6, 0, 3, 1.0), (7, 3, 3, 1.0)], "row_id long, node_id long, target_id long, periodo_giorno double")
+    got = datasets.neighbours_first_k(rows, {0: graph(20), 1: graph(40)}, k=2).select("row_id", "node_id", "peso", "periodo_giorno").collect()
+    assert sorted(map(tuple, got)) == [(5, 1, 2.0, 0.0), (5, 2, 3.0, 0.0), (6, 1, 4.0, 1.0), (6, 2, 5.0, 1.0)]
+
+
+def test_failed_models_give_rows_and_results_are_kept(spark, tmp_path):
+    from vialume.plans import comparisons
+    from vialume.plans.store import cached
+
+    g = queries.graph_store(spark, "/root/testdata/sf0.001")
+    q = queries._pairs(g, 1)
+    keep = f"file://{tmp_path}/kept"
+    bad = spark.createDataFrame([(1,)], "wrong long")
+    rows = comparisons.models(g, q, {"bad": bad}, keep=keep).collect()
+    assert len(rows) == q.count() and all(not r["trovato"] and r["errore"] for r in rows)
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(3)
+
+    assert [cached(spark, keep, {"a": a}, compute).count() for a in (1, 1, 2)] == [3, 3, 3] and len(calls) == 2
+
+
+def test_shared_folder_is_needed_on_clusters(spark):
+    from vialume.plans import store
+
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Far)

@@ -68,8 +68,9 @@ def ellipse_cut_indexed(graph: Graph, source: int, target: int, padding_km: floa
     """The same nodes; a rectangle around the ellipse comes first, which Parquet statistics can prune."""
     lat1, lon1, lat2, lon2 = _ends(graph.nodes, source, target)
     keep, most, squeeze = _ellipse(lat1, lon1, lat2, lon2, padding_km)
-    y, x, r = (lat1 + lat2) / 2, (lon1 + lon2) / 2, most / 2 * 1.05
-    wide = r / max(squeeze, 0.1)
+    # the long half axis is half the largest detour; a little more, as the box only has to hold the ellipse
+    y, x, r = (lat1 + lat2) / 2, (lon1 + lon2) / 2, most / 2 + 1e-9
+    wide = r / squeeze
     return induced(graph, graph.nodes.filter(F.col("y").between(y - r, y + r) & F.col("x").between(x - wide, x + wide) & keep))
 
 

@@ -81,6 +81,11 @@ def by_model(rows: DataFrame, value: str = "riduzione_pct") -> DataFrame:
     return rows.filter("trovato").groupBy("fascia", "modello").agg(F.avg(value).alias("media"), F.stddev_samp(value).alias("std"), F.count(F.lit(1)).alias("n_coppie"))
 
 
+def summary_by(rows: DataFrame, by: str, *values: str) -> DataFrame:
+    """Mean, median and sample deviation of each of ``values`` over found rows, for each value of ``by``."""
+    return rows.filter("trovato").groupBy(by).agg(*[f(c).alias(f"{c}_{n}") for c in values for n, f in (("media", F.avg), ("mediana", F.median), ("std", F.stddev_samp))])
+
+
 def grid_by_model(rows: DataFrame, value: str = "riduzione_pct") -> DataFrame:
     """by_model over the full grid of bands and models, 0 where there is nothing (what mean and deviation bars show)."""
     agg = by_model(rows, value)
@@ -104,4 +109,4 @@ def box_stats(rows: DataFrame, value: str, floor: float | None = None) -> DataFr
 def regression_metrics(rows: DataFrame, predicted: str = "prediction", true: str = "label") -> DataFrame:
     """Mean absolute error and R squared."""
     e, y = F.col(predicted) - F.col(true), F.col(true)
-    return rows.agg(F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y))).alias("r2"))
+    return rows.agg(F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"))

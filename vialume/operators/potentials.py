@@ -7,6 +7,7 @@ reduced weight of an edge is ``w + y[u] - y[v]``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vialume.functions.geo import half_even, travel_bound
-from vialume.operators.features import base_features
+from vialume.operators.features import advanced_features, base_features, needs_advanced
+from vialume.plans.store import materialize
 from vialume.sources.graphs import Graph
 
 M31 = 2147483647
+MOST_ANCHORS = 100_000
 
 
 def mod_rank(id_: Column, seed: int = 42) -> Column:
@@ -39,10 +42,23 @@ def analytic(nodes: DataFrame, targets: DataFrame, v_max_kmh: float = 130.0) ->
 
 
 def predicted(graph: Graph, targets: DataFrame, model, scale: float = 10.0) -> DataFrame:
-    """Potentials from a fitted model over the base features."""
-    pairs = graph.nodes.select("node_id").crossJoin(targets.select("target_id").distinct())
-    rows = model.transform(base_features(pairs, graph.nodes))
-    return as_potential(rows, F.col("prediction"), scale)
+    """Potentials from a fitted model; it gets the advanced features if its columns want them."""
+    pairs = graph.nodes.select("node_id").crossJoin(targets.select("target_id").distinct())  # all nodes times all targets is the result
+    return as_potential(_estimated(pairs, graph, model), F.col("prediction"), scale)
+
+
+def _estimated(pairs: DataFrame, graph: Graph, model) -> DataFrame:
+    wants = needs_advanced(getattr(model, "columns", []))
+    return model.transform(advanced_features(pairs, graph) if wants else base_features(pairs, graph.nodes))
+
+
+def anchored(graph: Graph, target: int, model, ratio: float = 0.1, least: int = 100, scale: float = 10.0, seed: int = 42) -> DataFrame:
+    """Potentials of one target with the model asked at anchors only; the other nodes interpolate between them."""
+    flagged = anchors(graph.nodes, target, ratio, least, seed)
+    pairs = flagged.filter("anchor").select("node_id", F.lit(target).cast("long").alias("target_id"))
+    values = _estimated(pairs, graph, model).select("node_id", F.col("prediction").alias("value"))
+    rows = interpolate(flagged, values).withColumn("target_id", F.lit(target).cast("long"))
+    return as_potential(rows, F.col("value"), scale)
 
 
 def reduced_edges(edges: DataFrame, potentials: DataFrame, weight: str = "travel_time_d") -> DataFrame:
@@ -74,11 +90,32 @@ def anchors(nodes: DataFrame, target: int, ratio: float = 0.1, least: int = 100,
 
 
 def nearest_anchor(flagged: DataFrame) -> DataFrame:
-    """(node_id, anchor_id) of the nearest anchor, in raw degrees, of each node that isn't one."""
+    """(node_id, anchor_id) of the nearest anchor, in raw degrees, of each node that isn't one.
+
+    Anchors meet nodes in a grid with about two anchors a cell, and a node's nearest among the nine cells around it is
+    final if it is nearer than their border. The rest goes on with cells twice as wide, until none is left.
+    """
     a = flagged.filter("anchor").select(F.col("node_id").alias("anchor_id"), F.col("y").alias("ay"), F.col("x").alias("ax"))
-    d2 = (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay")) + (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax"))
-    rows = flagged.filter("NOT anchor").crossJoin(a)
-    return rows.groupBy("node_id").agg(F.min_by("anchor_id", F.struct(d2, "anchor_id")).alias("anchor_id"))
+    box = flagged.agg(F.count_if("anchor").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("y", "x")]).collect()[0]
+    if not box["n"]:
+        return flagged.select("node_id", F.col("node_id").alias("anchor_id")).limit(0)
+    span = max(box["max_y"] - box["min_y"], box["max_x"] - box["min_x"], 1e-9)
+    cell, rest, parts = span / max(1, int((box["n"] / 2) ** 0.5)), flagged.filter("NOT anchor").select("node_id", "y", "x"), []
+    while True:
+        at = lambda c: F.floor((F.col(c) - F.lit(box[f"min_{c[-1]}"])) / F.lit(cell))  # noqa: B023, E731
+        around = F.explode(F.array(*[F.struct((at("ay") + i).alias("i"), (at("ax") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        near = a.withColumn("c", around).select("anchor_id", "ay", "ax", "c.i", "c.j")
+        rows = rest.withColumn("i", at("y")).withColumn("j", at("x")).join(near, ["i", "j"], "left")
+        d2 = (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay")) + (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax"))
+        best = rows.groupBy("node_id", "y", "x", "i", "j").agg(F.min(F.when(F.col("anchor_id").isNotNull(), F.struct(d2.alias("d2"), "anchor_id"))).alias("best"))
+        side = lambda c, k: F.least(F.col(c) - (F.lit(box[f"min_{c}"]) + (F.col(k) - 1) * cell), F.lit(box[f"min_{c}"]) + (F.col(k) + 2) * cell - F.col(c))  # noqa: B023, E731
+        border = F.least(side("y", "i"), side("x", "j"))
+        whole = cell >= span
+        best = materialize(best.withColumn("final", F.lit(whole) | F.coalesce(F.col("best.d2") < border * border, F.lit(False))), "nearest-anchor")
+        parts.append(best.filter("final").select("node_id", F.col("best.anchor_id").alias("anchor_id")))
+        rest, cell = best.filter("NOT final").select("node_id", "y", "x"), cell * 2
+        if whole or rest.isEmpty():
+            return reduce(DataFrame.union, parts)
 
 
 def triangulate(points: np.ndarray) -> np.ndarray:
@@ -114,8 +151,10 @@ def triangulate(points: np.ndarray) -> np.ndarray:
 def interpolate(flagged: DataFrame, values: DataFrame) -> DataFrame:
     """(node_id, value) of all nodes: anchors keep their value, others get a linear one in their Delaunay triangle, else the nearest anchor's.
 
-    Anchors are a bounded sample by contract; they and their triangles go to every task.
+    Anchors go to every task with their triangles, found by grid cell; more than ``MOST_ANCHORS`` are refused.
     """
+    if flagged.filter("anchor").count() > MOST_ANCHORS:
+        raise ValueError("too many anchors to triangulate at once; lower the ratio or cut the graph")
     known = flagged.filter("anchor").join(values, "node_id").select("node_id", "y", "x", "value").orderBy("node_id").toPandas()
     spark = flagged.sparkSession
     points = known[["x", "y"]].to_numpy()
@@ -125,19 +164,41 @@ def interpolate(flagged: DataFrame, values: DataFrame) -> DataFrame:
         pts, val, tri = shared.value
         a, b, c = (pts[tri[:, k]] for k in range(3))
         det = (b[:, 1] - c[:, 1]) * (a[:, 0] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (a[:, 1] - c[:, 1])
+        low, wide = pts.min(0), np.maximum(np.ptp(pts, axis=0), 1e-9) / max(1, int(len(pts) ** 0.5))
+        cell = lambda p: np.floor((p - low) / wide).astype(np.int64)
+        inside_of: dict[tuple[int, int], list[int]] = {}
+        if len(tri):
+            corners = np.stack([a, b, c])
+            for k, (lo, hi) in enumerate(zip(cell(corners.min(0) - 1e-9).tolist(), cell(corners.max(0) + 1e-9).tolist(), strict=True)):
+                for i in range(lo[0], hi[0] + 1):
+                    for j in range(lo[1], hi[1] + 1):
+                        inside_of.setdefault((i, j), []).append(k)
         for batch in batches:
             out = np.empty(len(batch))
-            for k, (x, y) in enumerate(batch[["x", "y"]].to_numpy()):
+            xy = batch[["x", "y"]].to_numpy()
+            for k, ((x, y), at) in enumerate(zip(xy.tolist(), map(tuple, cell(xy).tolist()), strict=True)):
+                m = np.array(inside_of.get(at, ()), dtype=np.int64)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    s = ((b[:, 1] - c[:, 1]) * (x - c[:, 0]) + (c[:, 0] - b[:, 0]) * (y - c[:, 1])) / det
-                    t = ((c[:, 1] - a[:, 1]) * (x - c[:, 0]) + (a[:, 0] - c[:, 0]) * (y - c[:, 1])) / det
+                    s = ((b[m, 1] - c[m, 1]) * (x - c[m, 0]) + (c[m, 0] - b[m, 0]) * (y - c[m, 1])) / det[m]
+                    t = ((c[m, 1] - a[m, 1]) * (x - c[m, 0]) + (a[m, 0] - c[m, 0]) * (y - c[m, 1])) / det[m]
                 inside = np.flatnonzero((s >= -1e-12) & (t >= -1e-12) & (s + t <= 1 + 1e-12))
                 if len(inside):
                     i = inside[0]
-                    out[k] = s[i] * val[tri[i, 0]] + t[i] * val[tri[i, 1]] + (1 - s[i] - t[i]) * val[tri[i, 2]]
+                    out[k] = s[i] * val[tri[m[i], 0]] + t[i] * val[tri[m[i], 1]] + (1 - s[i] - t[i]) * val[tri[m[i], 2]]
                 else:
                     out[k] = val[((pts - [x, y]) ** 2).sum(1).argmin()]
             yield pd.DataFrame({"node_id": batch["node_id"], "value": out})
 
     rest = flagged.filter("NOT anchor").select("node_id", "y", "x").mapInPandas(run, "node_id long, value double")
     return spark.createDataFrame(known[["node_id", "value"]], "node_id long, value double").unionByName(rest)
+
+
+def original_and_reduced(repaired_distances: DataFrame, potentials: DataFrame, phi: DataFrame) -> DataFrame:
+    """(target_id, source, node_id, d_reduced, d_original) from distances over repaired edges (target_id, source, node_id, d).
+
+    Repaired distances are reduced ones moved by phi, and those are original ones moved by the potentials.
+    """
+    at = lambda k, tag: potentials.join(phi, ["target_id", "node_id"]).select("target_id", F.col("node_id").alias(k), F.col("y_hat_int").alias(f"y_{tag}"), F.col("phi").alias(f"p_{tag}"))
+    rows = repaired_distances.join(at("source", "s"), ["target_id", "source"]).join(at("node_id", "n"), ["target_id", "node_id"])
+    rows = rows.withColumn("d_reduced", F.col("d") - F.col("p_s") + F.col("p_n"))
+    return rows.select("target_id", "source", "node_id", "d_reduced", (F.col("d_reduced") - F.col("y_s") + F.col("y_n")).alias("d_original"))

@@ -13,9 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vialume.operators.features import parallel_min
-from vialume.plans.store import materialize
+from vialume.plans.store import discard, materialize
 
 KERNEL_EDGES = 4_000_000
 
@@ -45,17 +46,21 @@ class Arrays:
 
 def collected(edges: DataFrame, nodes: DataFrame, most: int = KERNEL_EDGES) -> Arrays | None:
     """Edges (u, v, w) and nodes as arrays, or None if there are more than ``most``."""
-    rows = edges.select("u", "v", F.col("w").cast("double").alias("w")).limit(most + 1).toPandas()
-    if len(rows) > most:
-        return None
-    ids = nodes.select("node_id").limit(most + 1).toPandas()["node_id"].to_numpy()
-    if len(ids) > most:
+    if edges.count() > most or nodes.count() > most:
         return None
+    rows = edges.select("u", "v", F.col("w").cast("double").alias("w")).toPandas()
+    ids = nodes.select("node_id").toPandas()["node_id"].to_numpy()
     return Arrays(np.unique(np.concatenate([ids, rows.u, rows.v]).astype(np.int64)), rows.u.to_numpy(), rows.v.to_numpy(), rows.w.to_numpy())
 
 
-def _by_kernel(arrays: Arrays, sources: DataFrame) -> DataFrame:
-    shared = sources.sparkSession.sparkContext.broadcast(arrays)
+def weight_kind(edges: DataFrame) -> str:
+    """The type of distances: long over whole weights, else double."""
+    return "long" if isinstance(edges.schema["w"].dataType, T.IntegralType) else "double"
+
+
+def _by_kernel(arrays: Arrays, sources: DataFrame, kind: str) -> DataFrame:
+    spark = sources.sparkSession
+    shared, exact = spark.sparkContext.broadcast(arrays), np.int64 if kind == "long" else np.float64
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = shared.value
@@ -67,33 +72,36 @@ def _by_kernel(arrays: Arrays, sources: DataFrame) -> DataFrame:
                 d[np.arange(len(part)), np.searchsorted(g.ids, part)] = 0
                 g.relax(d)
                 s, n = np.nonzero(np.isfinite(d))
-                yield pd.DataFrame({"source": part[s], "node_id": g.ids[n], "d": d[s, n].astype(np.int64)})
+                yield pd.DataFrame({"source": part[s], "node_id": g.ids[n], "d": d[s, n].astype(exact)})
 
-    return sources.select("source").distinct().repartition(8).mapInPandas(run, "source long, node_id long, d long")
+    return sources.select("source").distinct().repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, f"source long, node_id long, d {kind}")
 
 
 def _by_relaxation(edges: DataFrame, state: DataFrame, keys: list[str], name: str, rounds: int = 100_000) -> DataFrame:
-    """Rows of (keys, node_id, d) lowered along edges (u, v, w [, keys]) until nothing changes."""
+    """Rows of (keys, node_id, d) lowered along edges (u, v, w [, keys]) until nothing changes; only the last table stays."""
     edges = materialize(edges.repartition("u"), f"{name}-edges")
     on_edges = [k for k in keys if k in edges.columns]
-    frontier = state = materialize(state.select(*keys, "node_id", "d"), f"{name}-0")
+    none = F.lit(None).cast(state.schema["d"].dataType)
+    frontier = state = last = materialize(state.select(*keys, "node_id", "d"), f"{name}-0")
     for r in range(1, rounds + 1):
         step = frontier.withColumnRenamed("node_id", "u").join(edges, ["u", *on_edges]).groupBy(*keys, F.col("v").alias("node_id")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
-        both = state.join(step, [*keys, "node_id"], "full").select(*keys, "node_id", F.least("d", "new").alias("d"), (F.col("new") < F.coalesce("d", F.lit(1 << 62))).alias("moved"))
+        both = state.join(step, [*keys, "node_id"], "full").select(*keys, "node_id", F.least("d", "new").alias("d"), (F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.coalesce("d", none)))).alias("moved"))
         both = materialize(both, f"{name}-{r}")
-        frontier, state = both.filter("moved").drop("moved"), both.drop("moved")
+        discard(last)
+        frontier, state, last = both.filter("moved").drop("moved"), both.drop("moved"), both
         if frontier.isEmpty():
+            discard(edges)
             return state
     raise ValueError("negative cycle")
 
 
 def shortest(edges: DataFrame, nodes: DataFrame, sources: DataFrame, method: str = "auto") -> DataFrame:
     """(source, node_id, d) for every node that each of ``sources`` (source) reaches over edges (u, v, w >= 0)."""
-    arrays = collected(edges, nodes) if method != "relaxation" else None
+    arrays, kind = collected(edges, nodes) if method != "relaxation" else None, weight_kind(edges)
     if arrays is not None:
-        return _by_kernel(arrays, sources)
-    start = sources.select("source").distinct().join(nodes.select(F.col("node_id")), F.col("source") == F.col("node_id")).select("source", "node_id", F.lit(0).cast("long").alias("d"))
-    return _by_relaxation(edges.select("u", "v", "w"), start, ["source"], "shortest")
+        return _by_kernel(arrays, sources, kind)
+    start = sources.select("source").distinct().join(nodes.select(F.col("node_id")), F.col("source") == F.col("node_id")).select("source", "node_id", F.lit(0).cast(kind).alias("d"))
+    return _by_relaxation(edges.select("u", "v", F.col("w").cast(kind).alias("w")), start, ["source"], "shortest")
 
 
 def shortest_to(edges: DataFrame, nodes: DataFrame, targets: DataFrame, method: str = "auto") -> DataFrame:
@@ -114,7 +122,7 @@ def repair_potentials(reduced: DataFrame, nodes: DataFrame, method: str = "auto"
     Raises ValueError if reduced weights hold a negative cycle (weights made from one potential can't).
     """
     merged = reduced.groupBy("target_id", "u", "v").agg(F.min("w_red").alias("w"))
-    if method != "relaxation" and merged.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES:
+    if method != "relaxation" and merged.count() <= KERNEL_EDGES and nodes.count() <= KERNEL_EDGES:
         ids = np.sort(nodes.select("node_id").toPandas()["node_id"].to_numpy())
         shared = nodes.sparkSession.sparkContext.broadcast(ids)
 
@@ -146,16 +154,18 @@ def predecessors(edges: DataFrame, dist: DataFrame, source: int) -> DataFrame:
 
 
 def path(preds: DataFrame, target: int) -> DataFrame:
-    """(step, node_id) from the source to ``target``; no rows if it isn't reached. One job a hop, of which the table holds the number."""
+    """(step, node_id) from the source to ``target``; no rows if it isn't reached. Ancestors are followed by doubling."""
     own = materialize(preds.select("node_id", "hops", "pred"), "preds")
     end = own.filter(F.col("node_id") == target).select("hops").collect()
     if not end:
         return own.select(F.col("hops").alias("step"), "node_id").limit(0)
-    spark, at, rows = preds.sparkSession, target, []
-    for step in range(end[0]["hops"], -1, -1):
-        rows.append((step, at))
-        at = own.filter(F.col("node_id") == at).select("pred").collect()[0]["pred"]
-    return spark.createDataFrame(rows, "step long, node_id long")
+    seen = preds.sparkSession.createDataFrame([(target,)], "node_id long")
+    up = own.filter("pred IS NOT NULL").select("node_id", F.col("pred").alias("up"))
+    for _ in range(int(end[0]["hops"]).bit_length()):
+        seen = materialize(seen.union(seen.join(up, "node_id").select("up")), "path")
+        twice = up.select(F.col("node_id").alias("via"), F.col("up").alias("beyond"))
+        up = materialize(up.join(twice, F.col("up") == F.col("via")).select("node_id", F.col("beyond").alias("up")), "ancestors")
+    return own.join(seen, "node_id").select(F.col("hops").alias("step"), "node_id")
 
 
 def merged_edges(graph, weight: str = "travel_time_d") -> DataFrame:

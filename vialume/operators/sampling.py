@@ -12,15 +12,27 @@ from pyspark.sql import functions as F
 from vialume.operators.potentials import mod_rank
 
 
+#: Ids that one task numbers at most.
+NUMBERED_AT_ONCE = 1 << 18
+
+
 def per_stratum(rows: DataFrame, strata: list[str], n: int, id_: str = "node_id", seed: int = 42) -> DataFrame:
-    """At most ``n`` rows of each stratum, without replacement."""
+    """At most ``n`` rows of each stratum, or of all rows without strata, without replacement."""
+    if not strata:
+        return rows.orderBy(mod_rank(F.col(id_), seed), id_).limit(n)
     w = Window.partitionBy(*strata).orderBy(mod_rank(F.col(id_), seed), id_)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("rank")
 
 
 def _numbered(rows: DataFrame, strata: list[str]) -> DataFrame:
-    w = Window.partitionBy(*strata)
-    return rows.select(*strata, "node_id", (F.row_number().over(w.orderBy("node_id")) - 1).cast("long").alias("k"), F.count(F.lit(1)).over(w).alias("size"))
+    """Rows numbered by node_id in each stratum: by ranges of ids, whose offsets are summed first, so no task holds a stratum."""
+    rows = rows.select(*strata, "node_id").withColumn("part", F.floor(F.col("node_id") / NUMBERED_AT_ONCE))
+    counts = rows.groupBy(*strata, "part").agg(F.count(F.lit(1)).alias("n"))
+    all_ = Window.partitionBy(*strata)
+    before = all_.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*strata, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(all_).alias("size"))
+    within = F.row_number().over(Window.partitionBy(*strata, "part").orderBy("node_id")) - 1
+    return rows.withColumn("within", within).join(counts, [*strata, "part"]).select(*strata, "node_id", (F.col("before") + F.col("within")).cast("long").alias("k"), "size")
 
 
 def _pick(i, size, seed: int):

@@ -86,10 +86,9 @@ def search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, mode: str = C
     With ``heuristic`` estimates are the larger of the straight line at top speed and, if ``potentials`` (target_id,
     node_id, y_hat) are given, the learned time over ``safety``. An error in a query is recorded in its row.
     """
-    rows = edges.select("u", "v", "w").limit(KERNEL_EDGES + 1).toPandas()
-    if len(rows) > KERNEL_EDGES:
-        raise ValueError("the graph is too large for a sequential search; cut it first")
-    spark = queries.sparkSession
+    if edges.count() > KERNEL_EDGES or (heuristic and nodes.count() > KERNEL_EDGES) or (potentials is not None and potentials.count() > KERNEL_EDGES):
+        raise ValueError("the graph or its potentials are too large for a sequential search; cut the graph first")
+    rows, spark = edges.select("u", "v", "w").toPandas(), queries.sparkSession
     places = nodes.select("node_id", "y", "x").toPandas() if heuristic else None
     learned = None
     if potentials is not None:
@@ -107,11 +106,11 @@ def search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, mode: str = C
                     if bound is not None and more and q.target in more:
                         bound = {n: max(b, more[q.target].get(n, 0.0) / safety) for n, b in bound.items()}
                     out.append(_row(q.query_id, q.source, q.target, best_first(graph, q.source, q.target, bound, mode)))
-                except (IndexError, KeyError) as e:
+                except Exception as e:  # recorded in its row
                     out.append(_row(q.query_id, q.source, q.target, error=repr(e)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return queries.select("query_id", "source", "target").repartition(8, "query_id").mapInPandas(run, RESULT)
+    return queries.select("query_id", "source", "target").repartition(spark.sparkContext.defaultParallelism, "query_id").mapInPandas(run, RESULT)
 
 
 def search_repaired(repaired: DataFrame, queries: DataFrame) -> DataFrame:
@@ -120,7 +119,13 @@ def search_repaired(repaired: DataFrame, queries: DataFrame) -> DataFrame:
 
     def run(key, qs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         graph = Adjacency(es["u"].to_numpy(), es["v"].to_numpy(), es["w"].to_numpy())
-        return pd.DataFrame([_row(q.query_id, q.source, q.target, best_first(graph, q.source, q.target)) for q in qs.itertuples()], columns=[c.split()[0] for c in RESULT.split(", ")])
+        out = []
+        for q in qs.itertuples():
+            try:
+                out.append(_row(q.query_id, q.source, q.target, best_first(graph, q.source, q.target)))
+            except Exception as e:  # recorded in its row
+                out.append(_row(q.query_id, q.source, q.target, error=repr(e)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     qs = queries.select("query_id", "source", "target", F.col("target").alias("target_id"))
     return qs.groupBy("target_id").cogroup(merged.groupBy("target_id")).applyInPandas(run, RESULT)

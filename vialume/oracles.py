@@ -88,6 +88,11 @@ SAN = """san AS (SELECT r.target_id, u, v, key, CAST(greatest(0, w_red + a.d - b
 BANDS = "bands(band, rmin, rmax, name) AS (VALUES (0, 0.0::DOUBLE, 5.0::DOUBLE, 'Centro'), (1, 5.0::DOUBLE, 15.0::DOUBLE, 'Periferia'), (2, 15.0::DOUBLE, 60.0::DOUBLE, 'Provincia'))"
 
 
+#: Places of the regional centres, and the regional bands.
+CENTRES = {"Padova": (LAT, LON), "Venezia": (45.4408, 12.3155), "Verona": (45.4384, 10.9916), "Vicenza": (45.5455, 11.5354), "Treviso": (45.6669, 12.2450), "Belluno": (46.1424, 12.2166), "Rovigo": (45.0712, 11.7901)}
+REGIONAL_BANDS = "regional(band, rmin, rmax, name) AS (VALUES (0, 0.0::DOUBLE, 10.0::DOUBLE, 'a'), (1, 10.0::DOUBLE, 30.0::DOUBLE, 'b'), (2, 30.0::DOUBLE, 80.0::DOUBLE, 'c'))"
+
+
 def banded(lat: float = LAT, lon: float = LON, name: str = "banded", bands: str = "bands") -> str:
     km = f"{hav('y', 'x', lit(lat), lit(lon))} / 1000"
     return f"{name} AS (SELECT node_id, y, x, {km} AS dist_km, band, b.name FROM nodes JOIN {bands} b ON {km} >= rmin AND {km} < rmax)"
@@ -207,7 +212,7 @@ walk AS (SELECT hops AS step, node_id, pred FROM pre WHERE node_id = 7 UNION ALL
     "dataset_standard": with_(f"""{MERGED}, zone AS (SELECT node_id FROM nodes WHERE {hav('y', 'x', lit(LAT), lit(LON))} / 1000 <= 15.0{D}),
 {distances(f"SELECT node_id AS source FROM (SELECT node_id, row_number() OVER (ORDER BY {rank('node_id')}, node_id) AS k FROM zone) WHERE k <= 60", True)},
 q AS (SELECT * FROM (SELECT source AS target_id, n AS node_id, d, row_number() OVER (PARTITION BY source ORDER BY {rank('n')}, n) AS k FROM r WHERE n IN (SELECT node_id FROM zone)) WHERE k <= 400)""", framed("q")),
-    "dataset_regional": with_(f"{MERGED}, {BANDS}, {ring_rows(LAT, LON, 5, 100, 'qa')}, {ring_rows(45.55, 11.95, 5, 100, 'qb')}", framed("qa", ", 'nord' AS centro").replace("'nord'", "'centro'") + " UNION ALL " + framed("qb", ", 'nord' AS centro")),
+    "dataset_regional": with_(f"{MERGED}, {REGIONAL_BANDS}, " + ", ".join(ring_rows(la, lo, 5, 100, f"q{i}", "regional") for i, (la, lo) in enumerate(CENTRES.values())), " UNION ALL ".join(framed(f"q{i}", f", '{n}' AS centro") for i, n in enumerate(CENTRES))),
     "neighbours_long": with_(EDGES, f"SELECT n.node_id AS row_id, e.v AS vicino, e.travel_time_d / 10.0{D} AS peso, {milli(hav('a.y', 'a.x', 't.y', 't.x'))} AS dist_mm FROM nodes n JOIN edges e ON e.u = n.node_id JOIN nodes a ON a.node_id = e.v JOIN nodes t ON t.node_id = 7"),
     "neighbours_wide": with_(EDGES, f"""SELECT n.node_id AS row_id, string_agg(v || ':' || CAST(w AS BIGINT), ' ' ORDER BY k) AS vicini, count(v) AS n_vicini FROM nodes n LEFT JOIN
 (SELECT u, v, w, row_number() OVER (PARTITION BY u ORDER BY v) AS k FROM (SELECT u, v, arg_min(coalesce(travel_time_d, 0), key) AS w FROM edges GROUP BY u, v)) f ON f.u = n.node_id AND f.k <= 4 GROUP BY n.node_id"""),
@@ -242,5 +247,21 @@ SQL["astar_exhaustive"] = SQL["astar_exhaustive_kernel"] = with_(EXPLORED, f"{_E
 SQL["dijkstra_repaired_distance"] = with_(EXPLORED, "SELECT p.nome, g.d AS dist FROM pairs p LEFT JOIN r g ON g.source = p.source AND g.n = p.target WHERE p.source <> p.target")
 SQL["precision_sweep"] = with_(f"{EDGES}, h AS (SELECT t.node_id AS target_id, n.node_id, CASE WHEN n.node_id = t.node_id THEN 0.0{D} ELSE -({hav('n.y', 'n.x', 't.y', 't.x')} / {lit(130 / 3.6)} * 10.0{D} / 10.0{D}) * 10.0{D} END AS y FROM nodes n, nodes t WHERE t.node_id IN (7, 11))",
     " UNION ALL ".join(f"SELECT '{w}' AS configurazione, target_id, count(*) AS n_edges, count(*) FILTER (w_red < 0) AS n_negative, coalesce(max(-w_red) FILTER (w_red < 0), 0) AS max_violation FROM (SELECT a.target_id, {w} + CAST(round_even(a.y / 10.0{D} * {lit(s)}, 0) AS BIGINT) - CAST(round_even(b.y / 10.0{D} * {lit(s)}, 0) AS BIGINT) AS w_red FROM edges JOIN h a ON a.node_id = u JOIN h b ON b.node_id = v AND b.target_id = a.target_id WHERE u <> v) GROUP BY target_id" for w, s in {"travel_time_s": 1, "travel_time_d": 10, "travel_time_c": 100, "travel_time_m": 1000}.items()))
-SQL["dataset_unified"] = with_(f"{EDGES}, {BANDS}, " + ", ".join(f"me{p} AS (SELECT u, v, min(CAST(round_even(t*10, 0) AS BIGINT)) AS w FROM ({busy(f, 42 + p)}) WHERE u <> v GROUP BY u, v), {ring_rows(LAT, LON, 5, 50, f'q{p}', 'bands', f'me{p}')}" for p, f in {0: 2.0, 1: 1.1, 2: 1.8}.items()),
+SQL["dataset_unified"] = with_(f"{EDGES}, {BANDS}, " + ", ".join(f"me{p} AS (SELECT u, v, min(CAST(round_even(t*10, 0) AS BIGINT)) AS w FROM ({busy(f, 42 + p)}) WHERE u <> v GROUP BY u, v), {ring_rows(LAT, LON, 15, 50, f'q{p}', 'bands', f'me{p}')}" for p, f in {0: 2.0, 1: 1.1, 2: 1.8}.items()),
     " UNION ALL ".join(framed(f"q{p}", f", 'centro' AS centro_riferimento, {p}.0{D} AS periodo_giorno") for p in range(3)))
+SQL["summary_by_model"] = with_(RESULTS, "SELECT modello, round(avg(riduzione_pct), 6) AS riduzione_pct_media, median(riduzione_pct) AS riduzione_pct_mediana, round(stddev_samp(riduzione_pct), 6) AS riduzione_pct_std FROM res WHERE trovato GROUP BY modello")
+SQL["precision_summary"] = f"SELECT configurazione, avg(n_negative) AS n_negative_media, median(n_negative) AS n_negative_mediana FROM ({SQL['precision_sweep']}) GROUP BY configurazione"
+SQL["grid_by_model"] = with_(RESULTS + ", part AS (SELECT * FROM res WHERE fascia <> 'Centro' OR modello <> 'anelli')", """SELECT f.fascia, m.modello, coalesce(round(avg(riduzione_pct) FILTER (trovato), 6), 0) AS media, coalesce(round(stddev_samp(riduzione_pct) FILTER (trovato), 6), 0) AS std, count(*) FILTER (trovato) AS n_coppie
+FROM (SELECT DISTINCT fascia FROM part) f CROSS JOIN (SELECT DISTINCT modello FROM part) m LEFT JOIN part s ON s.fascia = f.fascia AND s.modello = m.modello GROUP BY f.fascia, m.modello""")
+SQL["distances_reduced_and_original"] = with_(f"{DEG1}, {potentials('7')}", "SELECT b.target_id, r.source, r.n AS node_id, r.d + a.y_hat_int - b.y_hat_int AS d_reduced, r.d AS d_original FROM r JOIN pot a ON a.node_id = r.source JOIN pot b ON b.node_id = r.n")
+SQL["astar_learned_exhaustive"] = SQL["astar_exhaustive"]
+SQL["dataset_ring_advanced"] = with_(f"{MERGED}, {ATTRS}, {BANDS}, {ring_rows(LAT, LON, 20, 150, 'q')}", f"""SELECT f.*, CAST(m.degree AS DOUBLE) AS node_degree, CAST(t.degree AS DOUBLE) AS target_degree, m.road_score AS node_road_score, t.road_score AS target_road_score
+FROM ({framed('q')}) f JOIN attrs m ON m.node_id = f.node_id JOIN attrs t ON t.node_id = f.target_id""")
+SQL["cell_clustering"] = with_(NODES, f"SELECT node_id, CAST(floor(y / 0.05{D}) AS BIGINT) AS cell_y, CAST(floor(x / 0.05{D}) AS BIGINT) AS cell_x FROM nodes")
+SQL["graphml_roundtrip"] = SQL["edges"]
+SQL["osm_payload_nodes"] = with_(NODES, "SELECT node_id AS osm_id, y AS lat, x AS lon FROM nodes")
+SQL["potential_tokens"] = with_(NODES, "SELECT k AS node_id, CAST(trunc(CAST((node_id*37%1000 - 500) || '.75' AS DOUBLE)) AS BIGINT) AS phi FROM (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS k FROM nodes) WHERE node_id % 11 <> 0")
+SQL["solver_seconds"] = with_(NODES, "SELECT node_id, CASE WHEN node_id % 5 <> 0 THEN CAST((node_id % 60) || '.' || (node_id % 10) AS DOUBLE) END AS seconds FROM nodes")
+SQL["edge_file_lines"] = with_(MERGED, "SELECT u || ' ' || v || ' ' || w AS value FROM me UNION ALL SELECT CAST(count(*) + 1 AS VARCHAR) FROM nodes")
+SQL["json_model_prediction"] = with_(NODES, f"""SELECT node_id, 2.5{D} + CASE WHEN a < 45.5 THEN 1.5{D} WHEN b IS NULL OR b < 11.75 THEN -2.0{D} ELSE 4.25{D} END + CASE WHEN b IS NULL OR b < 12.0 THEN 0.25{D} ELSE 8.0{D} END AS prediction
+FROM (SELECT node_id, CASE WHEN node_id % 7 <> 0 THEN CAST(y AS FLOAT) END AS a, CASE WHEN node_id % 5 <> 0 THEN CAST(x AS FLOAT) END AS b FROM nodes)""")

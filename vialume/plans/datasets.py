@@ -26,7 +26,7 @@ def _framed(pairs: DataFrame, graph: Graph, weight: str, advanced: bool = False)
 def standard(graph: Graph, lat: float, lon: float, radius_km: float = 15.0, n_targets: int = 60, n_nodes: int = 400, weight: str = "travel_time_d", seed: int = 42, method: str = "auto") -> DataFrame:
     """Targets sampled in a radius; per target, nodes of the radius that reach it (itself included)."""
     zone = within_radius(graph.nodes, lat, lon, radius_km).select("node_id")
-    targets = per_stratum(zone.withColumn("all", F.lit(1)), ["all"], n_targets, seed=seed).select(F.col("node_id").alias("target_id"))
+    targets = per_stratum(zone, [], n_targets, seed=seed).select(F.col("node_id").alias("target_id"))
     d = shortest_to(merged_edges(graph, weight), graph.nodes, targets, method).join(zone, "node_id", "left_semi")
     return _framed(per_stratum(d, ["target_id"], n_nodes, seed=seed), graph, weight).select(*COLUMNS)
 
@@ -82,6 +82,29 @@ def neighbours_wide(rows: DataFrame, graph: Graph, weight: str = "travel_time_d"
     return got.select("row_id", pad("vicino", F.lit(None).cast("long")).alias("vicini"), pad("peso", F.lit(float("inf"))).alias("pesi"))
 
 
+def neighbours_first_k(rows: DataFrame, graphs: dict[int | None, Graph], weight: str = "travel_time_d", k: int = 4) -> DataFrame:
+    """(row_id, peso, base features, periodo_giorno if ``rows`` have it): the first ``k`` successors of each row's node in its own period's graph.
+
+    ``graphs`` maps periods (None without traffic) to graphs; rows meet edges by node and period.
+    """
+    period = F.coalesce(F.col("periodo_giorno").cast("int"), F.lit(-1)) if "periodo_giorno" in rows.columns else F.lit(-1)
+    order = Window.partitionBy("u").orderBy("v")
+    parts = []
+    for p, g in graphs.items():
+        first = g.edges.groupBy("u", "v").agg((F.min_by(F.coalesce(weight, F.lit(0)), "key") / F.lit(units(weight))).alias("peso"))
+        parts.append(first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("u", F.col("v").alias("vicino"), "peso", F.lit(-1 if p is None else p).alias("periodo")))
+    own = rows.select("row_id", F.col("node_id").alias("u"), "target_id", period.alias("periodo"), *[c for c in ("periodo_giorno",) if c in rows.columns])
+    pairs = own.join(reduce(DataFrame.unionByName, parts), ["u", "periodo"]).withColumnRenamed("vicino", "node_id").drop("u", "periodo")
+    return base_features(pairs, next(iter(graphs.values())).nodes)
+
+
+def bellman_min_loss(rows: DataFrame, near: DataFrame, weight: float = 0.5) -> DataFrame:
+    """(row_id, grad, hess) against the smallest ``peso + h`` of a row's neighbours. rows: row_id, p, y. near: row_id, peso, h."""
+    least = near.groupBy("row_id").agg(F.min(F.col("peso") + F.col("h")).alias("least"))
+    v = F.when(F.col("least").isNull() | (F.col("least") == float("inf")), 0.0).otherwise(F.greatest(F.col("p") - F.col("least"), F.lit(0.0)))
+    return rows.join(least, "row_id", "left").select("row_id", (F.col("p") - F.col("y") + 2 * weight * v).alias("grad"), (1 + 2 * weight * (v > 0).cast("double")).alias("hess"))
+
+
 def mean_loss(rows: DataFrame, near: DataFrame, weight: float = 0.5) -> DataFrame:
     """(row_id, grad, hess) of half the squared error plus ``weight`` times the mean squared violation.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,15 +12,17 @@ from pyspark.sql import functions as F
 from vialume.functions.geo import bearing, combined_bound, haversine, travel_bound
 from vialume.operators import cuts, evaluate, features, potentials, relax, sampling, search, traffic
 from vialume.plans import comparisons, datasets, learning
-from vialume.plans.store import materialize
+from vialume.plans.store import materialize, shared_dir
 from vialume.session import ship
-from vialume.sources import graphs
+from vialume.sources import graphs, models
 from vialume.sources.graphs import Graph
 
 LAT, LON = 45.4064, 11.8768
 BANDS = [(0.0, 5.0), (5.0, 15.0), (15.0, 60.0)]
 BAND_NAMES = ["Centro", "Periferia", "Provincia"]
-CENTRES = {"centro": (LAT, LON), "nord": (45.55, 11.95)}
+#: Places of the regional centres, and the regional bands.
+CENTRES = {"Padova": (LAT, LON), "Venezia": (45.4408, 12.3155), "Verona": (45.4384, 10.9916), "Vicenza": (45.5455, 11.5354), "Treviso": (45.6669, 12.2450), "Belluno": (46.1424, 12.2166), "Rovigo": (45.0712, 11.7901)}
+REGIONAL_BANDS = [(0.0, 10.0), (10.0, 30.0), (30.0, 80.0)]
 V_MAX = 1000.0
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +36,8 @@ def graph_store(spark: SparkSession, sf_dir: str) -> Graph:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _stores:
         g = graphs.from_tables(ship(spark), sf_dir)
-        _stores[at] = Graph(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"))
+        parts = max(1, min(64, g.nodes.count() // 50_000))
+        _stores[at] = Graph(materialize(cuts.cluster_by_cell(g.nodes, partitions=parts), "nodes"), materialize(g.edges, "edges"))
     return _stores[at]
 
 
@@ -411,13 +416,13 @@ def dataset_ring(g):
 
 @query
 def dataset_regional(g):
-    return _frame(datasets.regional(g, CENTRES, BANDS), "centro")
+    return _frame(datasets.regional(g, CENTRES, REGIONAL_BANDS), "centro")
 
 
 @query
 def dataset_unified(g):
     one = {"centro": (LAT, LON)}
-    return _frame(datasets.unified(g, one, BANDS, 5, 50, traffic=True), "centro_riferimento", "periodo_giorno")
+    return _frame(datasets.unified(g, one, BANDS, traffic=True), "centro_riferimento", "periodo_giorno")
 
 
 def _row_ids(g: Graph) -> DataFrame:
@@ -505,6 +510,121 @@ def predict_potentials(g):
     return potentials.predicted(g, _targets(g, 7), model)
 
 
+@query
+def train_regional(g):
+    """Few rounds over three targets a band of each regional centre."""
+    rows = datasets.regional(g, CENTRES, REGIONAL_BANDS, 1, 40)
+    return learning.train_regional(g, rows, rounds=2, rate=0.5, depth=4)[1]
+
+
+@query
+def train_unified(g):
+    """Few rounds with traffic, each row's neighbours in its own period."""
+    one = {"centro": (LAT, LON)}
+    busy = {p: traffic.reweight(g, list(one.values()), f, seed=42 + p) for p, f in traffic.PERIODS.items()}
+    return learning.train_unified(busy, datasets.unified(g, one, BANDS, 2, 30, traffic=True), rounds=2, rate=0.5, depth=4)[1]
+
+
+@query
+def anchored_prediction(g):
+    model, _ = learning.train_standard(_training(g), rounds=3, depth=4)
+    return potentials.anchored(g, 7, model)
+
+
+@query
+def wall_clock(g):
+    return comparisons.timed(g, 3, 7, 20.0)
+
+
+@query
+def precision_benchmark(g):
+    return comparisons.precision_benchmark(g, _pairs(g, 1))
+
+
+@query
+def distances_reduced_and_original(g):
+    """Distances from node 0 through the repaired graph, in reduced and in original weights."""
+    p = materialize(_pot(g, 7), "potentials")
+    f = materialize(relax.repair_potentials(potentials.reduced_edges(g.edges, p), g.nodes), "phi")
+    own = potentials.repaired_edges(g.edges, p, f).groupBy("u", "v").agg(F.min("w_san").alias("w"))
+    d = relax.shortest(own, g.nodes, _sources(g, 0)).select(F.lit(7).cast("long").alias("target_id"), "source", "node_id", "d")
+    return potentials.original_and_reduced(d, p, f)
+
+
+@query
+def astar_learned(g):
+    q = _pairs(g, 10)
+    t = q.select(F.col("target").alias("target_id")).distinct()
+    return _searched(g, search.search(relax.merged_edges(g), g.nodes, q, search.REOPEN, heuristic=True, potentials=potentials.analytic(g.nodes, t, V_MAX)), q)
+
+
+@query
+def astar_learned_exhaustive(g):
+    q = _pairs(g, 10)
+    t = q.select(F.col("target").alias("target_id")).distinct()
+    return _searched(g, search.search(relax.merged_edges(g), g.nodes, q, search.EXHAUSTIVE, heuristic=True, potentials=potentials.analytic(g.nodes, t, 60.0)), q)
+
+
+@query
+def dataset_ring_advanced(g):
+    rows = datasets.rings(g, LAT, LON, BANDS, advanced=True)
+    return _frame(rows, "node_degree", "target_degree", "node_road_score", "target_road_score")
+
+
+@query
+def cell_clustering(g):
+    nodes = cuts.cluster_by_cell(g.nodes)
+    return nodes.select("node_id", F.floor(F.col("y") / 0.05).alias("cell_y"), F.floor(F.col("x") / 0.05).alias("cell_x"))
+
+
+@query
+def graphml_roundtrip(g):
+    spark = g.nodes.sparkSession
+    path = f"{shared_dir(spark)}/graphml-{uuid.uuid4().hex}"
+    graphs.write_graphml(g, path)
+    return graphs.read_graphml(spark, path).edges.select("u", "v", "key", F.array_join("highway", "|").alias("tags"), milli(F.try_element_at("bearing", F.lit(1))).alias("bearing_milli"), "travel_time")
+
+
+@query
+def osm_payload_nodes(g):
+    e = F.array(F.struct(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.col("y").alias("lat"), F.col("x").alias("lon")))
+    return graphs.osm_nodes(g.nodes.select(F.to_json(F.struct(F.lit("0.6").alias("version"), e.alias("elements"))).alias("value")))
+
+
+@query
+def potential_tokens(g):
+    token = F.when(F.col("node_id") % 11 == 0, "inf").otherwise(F.format_string("%d.75", F.col("node_id") * 37 % 1000 - 500))
+    line = g.nodes.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", token.alias("t")))), lambda s: s["t"]), " ").alias("value"))
+    return graphs.parse_potential_tokens(line)
+
+
+@query
+def solver_seconds(g):
+    log = F.when(F.col("node_id") % 5 != 0, F.format_string("done, Time: %d.%d s", F.col("node_id") % 60, F.col("node_id") % 10)).otherwise("no clock")
+    return g.nodes.select("node_id", graphs.elapsed_seconds(log).alias("seconds"))
+
+
+@query
+def edge_file_lines(g):
+    """Text of a solver's input: the number of nodes with the super node, then the merged edges."""
+    return graphs.edge_lines(relax.merged_edges(g), super_index=g.nodes.count())
+
+
+#: A model of two trees in the public JSON format.
+TREES_JSON = json.dumps({"learner": {"feature_names": ["node_lat", "node_lon"], "learner_model_param": {"base_score": "2.5E0"}, "gradient_booster": {"model": {"trees": [
+    {"left_children": [1, -1, 3, -1, -1], "right_children": [2, -1, 4, -1, -1], "split_indices": [0, 0, 1, 0, 0], "split_conditions": [45.5, 1.5, 11.75, -2.0, 4.25], "default_left": [0, 0, 1, 0, 0]},
+    {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [1, 0, 0], "split_conditions": [12.0, 0.25, 8.0], "default_left": [1, 0, 0]}]}}}})
+
+
+@query
+def json_model_prediction(g):
+    spark = g.nodes.sparkSession
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    spark.createDataFrame([(TREES_JSON,)], "value string").coalesce(1).write.text(path)
+    rows = g.nodes.select("node_id", F.when(F.col("node_id") % 7 != 0, F.col("y")).alias("node_lat"), F.when(F.col("node_id") % 5 != 0, F.col("x")).alias("node_lon"))
+    return models.TreeTable.load(spark, path).transform(rows).select("node_id", "prediction")
+
+
 @query
 def explored_comparison(g):
     return comparisons.explored(g, _pairs(g, 3)).drop("query_id")
@@ -536,6 +656,12 @@ def precision_sweep(g):
     return comparisons.precision_sweep(g, _targets(g, 7, 11))
 
 
+@query
+def precision_summary(g):
+    rows = comparisons.precision_sweep(g, _targets(g, 7, 11)).withColumn("trovato", F.lit(True))
+    return evaluate.summary_by(rows, "configurazione", "n_negative").select("configurazione", "n_negative_media", "n_negative_mediana")
+
+
 @query
 def edge_text_roundtrip(g):
     return graphs.parse_edge_lines(graphs.edge_lines(relax.merged_edges(g)))
@@ -569,6 +695,16 @@ def aggregate_by_model(rows):
     return _rounded(evaluate.by_model(rows), "media", "std")
 
 
+@result_query
+def summary_by_model(rows):
+    return _rounded(evaluate.summary_by(rows, "modello", "riduzione_pct"), "riduzione_pct_media", "riduzione_pct_std")
+
+
+@result_query
+def grid_by_model(rows):
+    return _rounded(evaluate.grid_by_model(rows.filter("fascia <> 'Centro' OR modello <> 'anelli'")), "media", "std")
+
+
 @result_query
 def pivot_model_pair(rows):
     top = rows.groupBy("coppia", "modello").agg(F.max("riduzione_pct").alias("riduzione_pct"))

@@ -7,6 +7,7 @@ travel_time (seconds) and its four integer variants.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,9 +77,30 @@ def parse_edge_lines(lines: DataFrame) -> DataFrame:
     return lines.select(parts.alias("p")).filter(F.size("p") == 3).select(at(1).alias("u"), at(2).alias("v"), at(3).alias("w"))
 
 
-def edge_lines(edges: DataFrame, w: str = "w") -> DataFrame:
-    """Edges as text lines ``u v w`` for the text writer."""
-    return edges.select(F.concat_ws(" ", "u", "v", F.col(w).cast("string")).alias("value"))
+def edge_lines(edges: DataFrame, w: str = "w", super_index: int | None = None) -> DataFrame:
+    """Edges as text lines ``u v w`` for the text writer; with the index of the super node, a line with the number of nodes comes first."""
+    lines = edges.select(F.concat_ws(" ", "u", "v", F.col(w).cast("string")).alias("value"))
+    return lines if super_index is None else edges.sparkSession.createDataFrame([(str(super_index + 1),)], "value string").union(lines)
+
+
+def osm_nodes(payloads: DataFrame) -> DataFrame:
+    """(osm_id, lat, lon) of captured answers of the map's node service, one JSON text (value) each; others give no row."""
+    first = F.try_element_at(F.from_json("value", "elements array<struct<type: string, id: bigint, lat: double, lon: double>>")["elements"], F.lit(1))
+    return payloads.select(first.alias("e")).filter("e.id IS NOT NULL").select(F.col("e.id").alias("osm_id"), "e.lat", "e.lon")
+
+
+def write_graphml(graph: Graph, path: str) -> None:
+    """A graph as one GraphML document, in the folder ``path``; a document is one file, so one task writes its lines."""
+    spark = graph.nodes.sparkSession
+    line = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
+    keys = line(*[f'<key id="d{k}" for="{of}" attr.name="{name}" attr.type="string"/>' for k, (of, name) in enumerate((("node", "y"), ("node", "x"), ("edge", "travel_time"), ("edge", "highway"), ("edge", "bearing")))])
+    data = lambda k, c: F.coalesce(F.concat(F.lit(f'<data key="d{k}">'), c, F.lit("</data>")), F.lit(""))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    text = lambda c: F.col(c).cast("string")
+    nodes = graph.nodes.select(F.concat(F.lit('<node id="'), text("node_id"), F.lit('">'), data(0, text("y")), data(1, text("x")), F.lit("</node>")))
+    edges = graph.edges.select(F.concat(F.lit('<edge id="'), text("key"), F.lit('" source="'), text("u"), F.lit('" target="'), text("v"), F.lit('">'), data(2, text("travel_time")), data(3, listed(F.col("highway"))), data(4, listed(F.col("bearing").cast("array<string>"))), F.lit("</edge>")))
+    parts = [line("<graphml>"), keys, line('<graph edgedefault="directed">'), nodes, edges, line("</graph></graphml>")]
+    reduce(DataFrame.union, parts).coalesce(1).write.text(path)
 
 
 def parse_potential_tokens(lines: DataFrame) -> DataFrame:
