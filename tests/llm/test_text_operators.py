@@ -367,6 +367,77 @@ def test_quality_bands_of_few_documents(spark):
     assert all(inside)
 
 
+def _plain_kneser_ney(texts):
+    """Log probability of each byte of each text: interpolated modified Kneser-Ney of order 3, by dictionaries."""
+    grams = Counter()
+    for t in texts:
+        b = b"\n\n" + t
+        grams.update(b[k : k + 3] for k in range(len(b) - 2))
+    tables = {3: grams}
+    for k in (2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    def cut(table):
+        n1, n2, n3, n4 = (sum(1 for c in table.values() if c == k) for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            return [0.0, 0.5, 0.5, 0.5]
+        y = n1 / (n1 + 2 * n2)
+        return [0.0, *(min(max(d, 0.0), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))]
+    d = {k: cut(t) for k, t in tables.items()}
+    total, left = defaultdict(float), defaultdict(float)
+    for k, t in tables.items():
+        for g, c in t.items():
+            total[k, g[:-1]] += c
+            left[k, g[:-1]] += d[k][min(c, 3)]
+    def p(g):
+        if not g:
+            return 1 / 256
+        k = len(g)
+        c = tables[k].get(g, 0)
+        lower = p(g[1:])
+        if not total[k, g[:-1]]:
+            return lower
+        return (c - d[k][min(c, 3)]) / total[k, g[:-1]] + left[k, g[:-1]] / total[k, g[:-1]] * lower
+    return [[np.log(p((b"\n\n" + t)[k : k + 3])) for k in range(len(t))] for t in texts]
+
+
+@pytest.mark.parametrize("most", [4_000_000, 300])
+def test_perplexity_is_the_plain_one_of_the_language(spark, monkeypatch, most):
+    monkeypatch.setattr(op8_quality, "LEAST_CELL", 5)
+    rng, rows = random.Random(9), []
+    for lang, letters, n in (("en", "abcde  ", 9), ("de", "xyzö  ", 8), (None, "klm ", 6), ("r1", "qq ", 2), ("r2", "st ", 1), ("r3", "", 1)):
+        rows += [(len(rows) + k, "".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) if letters else "", lang) for k in range(n)]
+    frame = spark.createDataFrame([(i, t, c, i) for i, t, c in rows], "doc_id long, text string, lang string, variant long")
+    got = {r["doc_id"]: r["value"] for r in op8_quality.scored(frame, most).collect()}
+    again = {r["doc_id"]: r["value"] for r in op8_quality.scored(frame.repartition(7), most).collect()}
+    assert got == again and len(got) == len(rows)
+    expected, common = {}, dict(zip([i for i, _, _ in rows], _plain_kneser_ney([t.encode() for _, t, _ in rows])))
+    for part in (["en"], ["de"], [None], ["r1", "r2", "r3"]):
+        own = [(i, t.encode()) for i, t, c in rows if c in part]
+        for (i, t), logs in zip(own, _plain_kneser_ney([t for _, t in own])):
+            cut = range(0, len(t), op8_quality.SEGMENT)
+            sums = [max(sum(logs[k : k + op8_quality.SEGMENT]), sum(common[i][k : k + op8_quality.SEGMENT])) for k in cut]
+            expected[i] = -sum(sums) / len(t) if t else None
+    for i, v in expected.items():
+        assert (v is None and got[i] is None) or abs(got[i] - v) < 1e-5
+
+
+def test_verdict_is_the_band_of_values(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = op8_quality.rules(docs).toPandas()
+    full = docs.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).toPandas().merge(rows, on="doc_id")
+    full["power"], full["bin"] = np.floor(np.log2(np.maximum(full.n, 1))), np.floor(full.log_perplexity * op8_quality.BINS)
+    some = full[full.log_perplexity.notna()]
+    for r in some.itertuples():
+        same = some[some.lang.isna()] if r.lang is None else some[some.lang == r.lang]
+        pools = [same[same.power == r.power], same[abs(same.power - r.power) <= 1], same, some]
+        pool = next((p for p in pools[:3] if len(p) >= op8_quality.LEAST_CELL), some)
+        bins = np.sort(pool.bin.to_numpy())
+        q1, q3 = (bins[int(np.ceil(len(bins) * q)) - 1] / op8_quality.BINS for q in (0.25, 0.75))
+        span = max(q3 - q1, op8_quality.LEAST_RANGE)
+        inside = q1 - span * op8_quality.REACH <= r.log_perplexity <= q3 + 1 / op8_quality.BINS + span * op8_quality.REACH_ABOVE
+        assert r.kept == (inside and not r.base_failed)
+
+
 def test_kneser_ney_is_a_distribution():
     texts = ["banana bandana", "bananas and bandits", "", "abracadabra"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
