@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +78,49 @@ def test_license(spark, docs, none):
     assert plain(ours) == plain(theirs)
 
 
+def _notices():
+    """A notice of each licence of the rules, whole and then wrapped and commented in several ways."""
+    first = {}
+    for i, text in op1_license._TEXTS:
+        first.setdefault(i, text)
+    for name, run in op1_license.RULES:
+        title = [first[i] for i in run if i == "mit-title"]  # a title has a line of its own
+        text = " ".join(first[i] for i in run if i != "mit-title")
+        yield name, "\n".join(["Some words before.\n", *title, "Copyright (c) 2019 Some Body", text, "\nSome words after it."])
+        for mark in ("", "# ", " * ", "// "):
+            lines = textwrap.wrap(text, 72 - len(mark))
+            head = "/*\n" if mark == " * " else ""
+            yield name, head + "\n".join(mark + line for line in [*title, "Copyright 2001, 2019 Some Body, Other Body", "", *lines, "", "More words here"])
+
+
+def test_standard_notices_are_found(spark):
+    notices = list(_notices())
+    assert len({n for n, _ in notices}) >= 20
+    got = {r["doc_id"]: r["licenses"] for r in op1_license.scan(spark.createDataFrame(list(enumerate(t for _, t in notices)), "doc_id long, text string")).collect()}
+    assert [(n, got[k]) for k, (n, _) in enumerate(notices) if got[k] != n] == []
+
+
+def test_licence_slots_and_unknown_sentences(spark):
+    say = dict(op1_license._TEXTS)
+    apart = " ".join([say["mit-grant"], "But one thing is odd.", say["mit-notice"], say["mit-asis"]])
+    bsd = " ".join([say[i] for i in ("bsd-intro", "bsd-source", "bsd-binary")])
+    texts = {
+        1: (apart, ""), 2: (bsd + " Neither the name of Foo Bar, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-2-Clause"),
+        3: (bsd + " Neither the names of Foo Bar nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+        4: ("This file is licensed under the MIT license.", "MIT"), 5: ("# SPDX-License-Identifier: Apache-2.0\nimport x", "Apache-2.0"), 6: ("The code is distributed under the terms of the GNU General Public License, version 2. Enjoy.", "GPL-2.0-only"),
+        7: ("// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0\n//\n// Unless required by applicable law or agreed to in writing, software\n// distributed under the License is distributed on an \"AS IS\" BASIS,\n// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n// See the License for the specific language governing permissions and\n// limitations under the License.\n", "Apache-2.0"),
+        8: ("We spoke of the MIT license and of copyright.", ""),
+    }
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in op1_license.scan(frame).collect()}
+    assert {k: r["licenses"] for k, r in rows.items()} == {k: n for k, (_, n) in texts.items()}
+    assert rows[1]["sentence_ids"] == "<mit-grant><mit-notice><mit-asis>" and rows[1]["n_unmatched"] == 3
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    theirs = con.sql(op1_license.scan_sql()).df().set_index("doc_id").to_dict("index")
+    assert all(theirs[k] == {c: v for c, v in r.asDict().items() if c != "doc_id"} for k, r in rows.items())
+
+
 def test_warc(spark):
     html = ["<p>é</p>", None, "", "<p>é</p>", "x" * 100_000, "<p>é</p>", "new\r\n\r\nWARC-Type: revisit\r\n"]
     rows = [(k * 5 % 7, f"http://a/{k}\r\nX: y", h, "clash") for k, h in enumerate(html)] + [(None, None, "solo", "c"), (9, "u", "twin", "c"), (9, "u", "twin", "c")]
