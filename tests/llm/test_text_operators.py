@@ -273,6 +273,50 @@ def test_sharding_is_the_ring_walk():
     assert moved >= sum(max(0, n - total // shards - 1) for n in natural.values())
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_keys_go_where_the_walk_puts_them(seed):
+    """Each key on its own: the next virtual node clockwise whose shard has room, in the order of rounds of overflow."""
+    rng, shards, vnodes = random.Random(seed), 5, 8
+    counts = {c: rng.randint(1, 9) for c in rng.sample(range(op4_sharding.CELLS), 60)}
+    counts[rng.randrange(op4_sharding.CELLS)] = 300
+    nodes, total = op4_sharding.ring(shards, vnodes), sum(counts.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    walking = [((next((i for i, (at, _) in enumerate(nodes) if at >= c), 0)), c, r) for c in sorted(counts) for r in range(counts[c])]
+    place = {}
+    while walking:
+        walking.sort()
+        moved = []
+        for node, c, r in walking:
+            shard = nodes[node][1]
+            if room[shard]:
+                room[shard] -= 1
+                place[c, r] = shard
+            else:
+                moved.append((node, c, r))
+        walking = []
+        for node, c, r in moved:
+            k = (node + 1) % len(nodes)
+            while not room[nodes[k][1]]:
+                k = (k + 1) % len(nodes)
+            walking.append((k, c, r))
+    pieces = op4_sharding.solve(counts, shards, vnodes)
+    assert {(c, r): s for c, lo, hi, s, _ in pieces for r in range(lo, hi)} == place
+
+
+def test_ring_moves_few_keys():
+    """One more shard, and one percent more rows, move little more than they must."""
+    cells = Counter(int(hashlib.md5(str(k).encode()).hexdigest()[:4], 16) for k in range(60_000))
+    where = lambda counts, shards: {(c, r): s for c, lo, hi, s, _ in op4_sharding.solve(counts, shards, 128) for r in range(lo, hi)}
+    old, grown = where(cells, 40), where(cells, 41)
+    assert sum(old[k] != grown[k] for k in old) / len(old) < 2 / 41
+    more = cells + Counter(int(hashlib.md5(str(k).encode()).hexdigest()[:4], 16) for k in range(60_000, 60_600))
+    later = where(more, 40)
+    assert sum(old[k] != later[k] for k in old) / len(old) < 0.05
+    nodes = op4_sharding.ring(40, 128)
+    home = {c: next((s for at, s in nodes if at >= c), nodes[0][1]) for c in cells}
+    assert sum(s != home[c] for (c, _), s in old.items()) / len(old) < 0.1
+
+
 def test_sentencepiece(docs, none, rows):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     got = Counter(map(tuple, op5_sentencepiece.token_digests(docs, MODEL).collect()))
@@ -325,6 +369,7 @@ def test_mixing(docs, none, rows, spark):
 
 @pytest.mark.parametrize("long_ones", [[60000], [30000, 29000], [9000, 8000, 7000, 6000]])
 def test_mixing_goes_on_past_long_documents(spark, long_ones):
+    """The words taken stay below the target by a small document at most, in both engines."""
     sizes = [("a", n) for n in [*long_ones, *[200] * 300]] + [("b", 200)] * 100 + [("c", 200)] * 100
     frame = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
     got = op6_mixing.mix(frame).toPandas()
@@ -332,6 +377,19 @@ def test_mixing_goes_on_past_long_documents(spark, long_ones):
     assert (got.taken == got.copies * got["size"]).all() and (got.position_ppm.notna() == (got.copies > 0)).all()
     for _, g in got.groupby(got.doc_id.map(lambda i: sizes[i][0])):
         assert 0 <= g.target.iloc[0] - g.taken.sum() <= 200 and g.copies.max() - g.copies.min() <= 1
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    theirs = con.sql(op6_mixing.mix_sql()).df()
+    plain = lambda d: (sorted(d[["doc_id", "size", "taken", "copies"]].astype(int).itertuples(index=False)), dict(zip(d.doc_id, d.position_ppm.fillna(-1).astype(int))))
+    assert plain(got) == plain(theirs)
+
+
+def test_mixing_of_a_hot_source_with_repeated_ids_agrees_with_itself(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3]), " ".join(str(rng.randint(0, 9)) for _ in range(rng.choice([3, 3, 50]))), "hot" if k % 3 else f"s{k % 5}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = (Counter(map(tuple, op6_mixing.mixed(f).collect())) for f in (frame, frame.repartition(7)))
+    assert once == again
 
 
 def test_substring(docs, none, rows, spark):
@@ -510,6 +568,37 @@ def test_token_counts(docs, none, rows):
     assert op9_token_counts.allocate(ends, borders, "first")[1].tolist() == [1, 0, 0]
 
 
+@pytest.mark.parametrize("rule", ["first", "most", "split"])
+def test_token_rows_are_plain_counts(docs, rows, rule):
+    """Every row of the operator, from a walk over the tokens of each text."""
+    enc, _ = op9_token_counts.encoding(RANKS, public_tokenizers.PATTERN)
+    expected = Counter()
+    for i, t, *_ in rows:
+        lines, tokens, at = re.findall(rb"[^\n]*\n|[^\n]+", (t or "").encode()), enc.encode_ordinary(t or ""), 0
+        owner = [k for k, line in enumerate(lines) for _ in line]
+        got, crossing = [0.0] * len(lines), [0] * len(lines)
+        for token in tokens:
+            size = len(enc.decode_single_token_bytes(token))
+            mine = Counter(owner[at : at + size])
+            first = owner[at]
+            crossing[first] += len(mine) > 1
+            if rule == "first":
+                got[first] += 1
+            elif rule == "most":
+                got[min(mine, key=lambda k: (-mine[k], k))] += 1
+            else:
+                for k, n in mine.items():
+                    got[k] += n / size
+            at += size
+        begin = 0
+        for k, line in enumerate(lines):
+            end = begin + len(line.decode())
+            expected[i, k, begin, end, round(got[k], 6), crossing[k], len(tokens)] += 1
+            begin = end
+    rows_ = op9_token_counts.section_tokens(docs, RANKS, public_tokenizers.PATTERN, rule).collect()
+    assert Counter((r["doc_id"], r["section"], r["begin_char"], r["end_char"], round(r["n_tokens"], 6), r["n_crossing"], r["doc_tokens"]) for r in rows_) == expected
+
+
 def _components(rows, k, percent):
     fold = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     sets = []

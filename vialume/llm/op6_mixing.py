@@ -89,7 +89,8 @@ def _planned(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float,
     """The rows of ``mix`` with the columns ``keep`` of ``docs`` behind."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col("source") if "source" in docs.columns else F.lit(None)
-    sized = materialize(docs.select("doc_id", source.cast("string").alias("source"), words.alias("size"), *keep), "mix-sizes")
+    tie = F.xxhash64("text") if keep else F.lit(0).cast("long")  # only kept rows are told apart by it
+    sized = materialize(docs.select("doc_id", source.cast("string").alias("source"), words.alias("size"), tie.alias("tie"), *keep), "mix-sizes")
     goals = targets(sized, most_repeats).select(F.col("source").alias("of"), "source_size", "n_docs", "weight", "target")
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     ranges = F.ceil(F.sqrt("n_docs"))
@@ -101,7 +102,7 @@ def _planned(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float,
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("ahead"))
-    own = Window.partitionBy("source", "part").orderBy(F.when(F.col("large"), -F.col("size")).otherwise(0), "place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "part").orderBy(F.when(F.col("large"), -F.col("size")).otherwise(0), "place", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
 
@@ -155,7 +156,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 def mix_sql(table: str = "documents") -> str:
     """The rows of mix() with its defaults, for DuckDB."""
     return f"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {table}),
 src AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM src),
@@ -185,8 +186,24 @@ short2 AS (SELECT s.* REPLACE (s.short - coalesce(struct_extract_at(p.pick, 1),
   FROM short1 s LEFT JOIN pick1 p ON s.source IS NOT DISTINCT FROM p.source),
 pick2 AS (SELECT source, max(ROW(size, off)) AS pick FROM short2 WHERE open > 0 AND size > 0 AND copies < 3 AND NOT taken_last AND size <= short AND size < below GROUP BY source),
 short3 AS (SELECT s.* REPLACE (s.short - coalesce(struct_extract_at(p.pick, 1), 0) AS short, coalesce(struct_extract_at(p.pick, 1), s.below) AS below, s.taken_last OR coalesce(ROW(s.size, s.off) = p.pick, false) AS taken_last)
-  FROM short2 s LEFT JOIN pick2 p ON s.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (copies + CAST(taken_last AS BIGINT)) * size AS taken, copies + CAST(taken_last AS BIGINT) AS copies,
+  FROM short2 s LEFT JOIN pick2 p ON s.source IS NOT DISTINCT FROM p.source),
+passed AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 3 END AS passes FROM short3),
+per AS (SELECT source, any_value(short) AS short, any_value(target - source_size * passes) AS rest, coalesce(sum(size) FILTER (large), 0) AS large_words, coalesce(sum(size) FILTER (NOT large), 0) AS small_words,
+  max(size) FILTER (NOT large AND size > 0) AS small, min(size) FILTER (open > 0 AND size > 0) AS least_open FROM passed GROUP BY source),
+lacking AS (SELECT * FROM per WHERE least_open <= short AND coalesce(short > small, true)),
+bulk AS (SELECT source, size, count(*) AS n, min(off) AS base, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS k FROM passed WHERE large GROUP BY source, size),
+fold AS (SELECT source, 0 AS k, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS base, CAST(0 AS BIGINT) AS ahead, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS got, rest FROM lacking
+  UNION ALL SELECT f.source, f.k + 1, b.size, b.base, f.got, least(b.n, CAST(floor((f.rest - f.got) / b.size) AS BIGINT)), CAST(f.got + b.size * least(b.n, CAST(floor((f.rest - f.got) / b.size) AS BIGINT)) AS BIGINT), f.rest
+  FROM fold f JOIN bulk b ON b.source IS NOT DISTINCT FROM f.source AND b.k = f.k + 1),
+planned AS (SELECT l.source, l.rest, l.large_words, f.large_taken FROM lacking l JOIN (SELECT source, max(got) AS large_taken FROM fold GROUP BY source) f ON f.source IS NOT DISTINCT FROM l.source
+  WHERE least(CAST(large_taken + small_words AS DOUBLE), l.rest) > l.rest - l.short),
+started AS (SELECT p.*, q.rest, q.large_taken IS NOT NULL AS anew, f.n AS n_taken, CASE WHEN p.large THEN f.ahead + CAST(floor((p.off - f.base) / p.size) AS BIGINT) * p.size ELSE p.off - q.large_words + q.large_taken END AS start,
+  CASE WHEN p.large THEN CAST(floor((p.off - f.base) / p.size) AS BIGINT) END AS turn
+  FROM passed p LEFT JOIN planned q ON q.source IS NOT DISTINCT FROM p.source LEFT JOIN fold f ON f.source IS NOT DISTINCT FROM p.source AND f.size = p.size AND f.k > 0 AND p.large),
+final AS (SELECT doc_id, size, source_size, target, tilt, NOT anew AND taken_last AS last,
+  CASE WHEN anew THEN passes + CAST(CASE WHEN large THEN coalesce(turn < n_taken, false) ELSE CAST(start + size AS DOUBLE) <= rest END AS BIGINT) ELSE copies END AS copies,
+  least(CAST(CASE WHEN anew AND passes = 0 THEN start ELSE off END AS DOUBLE) / target, 1.0::DOUBLE) AS share FROM started)
+SELECT doc_id, size, source_size, target, (copies + CAST(last AS BIGINT)) * size AS taken, copies + CAST(last AS BIGINT) AS copies,
   CASE WHEN copies > 0 AND target > 0 THEN CAST(floor(2.0::DOUBLE * share / ((1.0::DOUBLE - tilt) + sqrt((1.0::DOUBLE - tilt) * (1.0::DOUBLE - tilt) + 4.0::DOUBLE * tilt * share)) * 1000000) AS BIGINT)
-    WHEN taken_last THEN 1000000 END AS position_ppm
-FROM short3"""
+    WHEN copies + CAST(last AS BIGINT) > 0 THEN 1000000 END AS position_ppm
+FROM final"""
