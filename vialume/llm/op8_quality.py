@@ -46,6 +46,8 @@ LEAST_WORDS, MOST_REPEATED_PCT, REPEAT_WINDOW = 20, 30, 8
 REACH, REACH_ABOVE, LEAST_RANGE = 2, 1.75, 0.02
 #: Counters of documents by hashed language; trigrams of the models that are broadcast together, beyond the first's own.
 LANGUAGES, MODEL_ENTRIES = 1 << 20, 4_000_000
+#: Parts into which the rows of a band are dealt.
+SALTS = 64
 #: Bytes that are judged by one model.
 SEGMENT = 64
 #: Units in a natural logarithm.
@@ -318,9 +320,11 @@ def _judged(docs: DataFrame, reach: float) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("variant"), lang.alias("lang"), "text")
     values = scored(docs)
-    own = F.col("lang").eqNullSafe(F.col("of_lang")) & (_power() == F.col("of_power"))
+    salt = F.pmod("variant", F.lit(SALTS)).cast("int")  # a language and length may hold a third of all rows
+    band = bands(values, reach).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.col("lang").eqNullSafe(F.col("of_lang")) & (_power() == F.col("of_power")) & (salt == F.col("salt"))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PCT)
-    out = values.join(bands(values, reach), own, "left").withColumn("base_failed", failed)
+    out = values.join(band, own, "left").drop("salt").withColumn("base_failed", failed)
     inside = F.coalesce(F.col("value").between(F.col("low"), F.col("high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
