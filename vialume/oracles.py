@@ -265,3 +265,15 @@ SQL["solver_seconds"] = with_(NODES, "SELECT node_id, CASE WHEN node_id % 5 <> 0
 SQL["edge_file_lines"] = with_(MERGED, "SELECT u || ' ' || v || ' ' || w AS value FROM me UNION ALL SELECT CAST(count(*) + 1 AS VARCHAR) FROM nodes")
 SQL["json_model_prediction"] = with_(NODES, f"""SELECT node_id, 2.5{D} + CASE WHEN a < 45.5 THEN 1.5{D} WHEN b IS NULL OR b < 11.75 THEN -2.0{D} ELSE 4.25{D} END + CASE WHEN b IS NULL OR b < 12.0 THEN 0.25{D} ELSE 8.0{D} END AS prediction
 FROM (SELECT node_id, CASE WHEN node_id % 7 <> 0 THEN CAST(y AS FLOAT) END AS a, CASE WHEN node_id % 5 <> 0 THEN CAST(x AS FLOAT) END AS b FROM nodes)""")
+SQL["pairs_by_trip_type"] = with_(f"""{NODES}, {BANDS}, {banded()},
+pools AS (SELECT 'c' AS pool, node_id FROM banded WHERE band = 0 UNION ALL SELECT 'p', node_id FROM banded WHERE band = 1 UNION ALL SELECT 'm', node_id FROM (SELECT DISTINCT node_id FROM banded WHERE band IN (0, 1))
+  UNION ALL SELECT 'l', node_id FROM banded WHERE band = 2 UNION ALL SELECT 't', node_id FROM nodes),
+num AS (SELECT pool, node_id, row_number() OVER (PARTITION BY pool ORDER BY node_id) - 1 AS k, count(*) OVER (PARTITION BY pool) AS size FROM pools),
+sizes AS (SELECT DISTINCT pool, size FROM num),
+kinds(kind, fascia, s1, t1, s0, t0, again) AS (VALUES ('Urbana', 'Tratte Urbane', 'c', 'c', 'c', 'c', 'c'), ('Mista', 'Tratte Miste', 'p', 'm', 'm', 'p', 'm'), ('Lunga', 'Tratte Lunghe', 'l', 't', 't', 'l', 't')),
+want AS (SELECT kind, fascia, i, again, CASE WHEN i % 2 = 1 THEN s1 ELSE s0 END AS sp, CASE WHEN i % 2 = 1 THEN t1 ELSE t0 END AS tp FROM kinds, (SELECT unnest(range(1, 101)) AS i)),
+picked AS (SELECT w.*, {pick('i', 'x.size', 123)} AS ks, {pick('i', 'y.size', 124)} AS kt, {pick('i', 'z.size', 125)} AS ka, ({pick('i', 'z.size', 125)} + 1) % z.size AS kb
+  FROM want w JOIN sizes x ON x.pool = sp JOIN sizes y ON y.pool = tp JOIN sizes z ON z.pool = again),
+trips AS (SELECT kind || ' #' || i AS nome, s.node_id AS source, CASE WHEN a.node_id <> s.node_id THEN a.node_id WHEN b.node_id <> s.node_id THEN b.node_id ELSE c.node_id END AS target, fascia
+  FROM picked JOIN num s ON s.pool = sp AND s.k = ks JOIN num a ON a.pool = tp AND a.k = kt JOIN num b ON b.pool = again AND b.k = ka JOIN num c ON c.pool = again AND c.k = kb WHERE EXISTS (SELECT 1 FROM pools WHERE pool = 'c'))""",
+    "SELECT nome, source, target, fascia FROM trips WHERE source <> target")
