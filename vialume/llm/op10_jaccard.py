@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -472,3 +473,20 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     out = docs.filter(worded).withColumn("row_key", _row_key(docs))
     out = out.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).drop("row_key")
     return out.union(docs.filter(~worded)).toDF(*names)
+
+
+def linked_sql(table: str = "documents") -> str:
+    """DuckDB SQL for the rows of ``linked`` where doc_ids are distinct and not null."""
+    return rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x20\x09-\x0D]+'), []) AS w FROM {table}),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + {SHINGLE} - 1], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE} + 2, least(len(w), 1) + 1))) AS p FROM texts)),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS same FROM grams GROUP BY doc_id),
+classes AS (SELECT same, min(doc_id) AS doc_id, any_value(n) AS n FROM sizes GROUP BY same),
+shown AS (SELECT c.doc_id, c.n, gram FROM classes c JOIN grams g ON c.doc_id = g.doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shown a JOIN shown b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+ GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM classes UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+named AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, t.doc_id) AS component_id
+FROM texts t LEFT JOIN sizes s ON t.doc_id = s.doc_id LEFT JOIN classes c ON s.same = c.same LEFT JOIN named m ON c.doc_id = m.doc_id"""

@@ -409,3 +409,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, most: int | None = None) -> D
     found = nodes.groupBy("of", "of_variant").applyInArrow(_maximal(window), "of long, of_variant long, start long, n_words long, earlier long, earlier_variant long, earlier_start long")
     named = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return found.select(named("of").alias("doc_id"), "start", "n_words", named("earlier").alias("earlier_doc_id"), "earlier_start", "earlier_variant")
+
+
+def digests_sql(table: str = "documents") -> str:
+    """DuckDB SQL for the rows of ``digests`` where doc_ids are distinct and not null."""
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM {table}),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS p FROM texts),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + {WINDOW} - 1], ' ') AS path FROM starts),
+firsts AS (SELECT path, min(struct_pack(doc_id := doc_id, p := p)) AS place FROM windows GROUP BY path HAVING count(*) > 1),
+later AS (SELECT doc_id, p FROM windows JOIN firsts USING (path) WHERE struct_pack(doc_id := doc_id, p := p) <> place),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts),
+marked AS (SELECT doc_id, word, p, coalesce(max(later.p) OVER (PARTITION BY doc_id ORDER BY p) > p - {WINDOW}, false) AS removed FROM words LEFT JOIN later USING (doc_id, p)),
+kept AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT removed) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)"""

@@ -58,4 +58,4 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc_archive, op3_jpeg_media, op4_bounded_ring, op5_sentencepiece_digests, op6_curriculum_mix, op7_substring_dedup, op8_perplexity_rules, op9_section_tokens, op10_jaccard_components)}
 
-SQL: dict[str, str] = {"op1_license_scan": op1_license.scan_sql(), "op2_warc_archive": op2_warc.archive_sql(), "op6_curriculum_mix": op6_mixing.mix_sql()}
+SQL: dict[str, str] = {"op1_license_scan": op1_license.scan_sql(), "op2_warc_archive": op2_warc.archive_sql(), "op6_curriculum_mix": op6_mixing.mix_sql(), "op7_substring_dedup": op7_substring.digests_sql(), "op10_jaccard_components": op10_jaccard.linked_sql()}
