@@ -599,6 +599,29 @@ def test_token_rows_are_plain_counts(docs, rows, rule):
     assert Counter((r["doc_id"], r["section"], r["begin_char"], r["end_char"], round(r["n_tokens"], 6), r["n_crossing"], r["doc_tokens"]) for r in rows_) == expected
 
 
+def test_tokens_of_fields(spark):
+    """Fields as sections: each token of the joined document goes to the field of its first byte."""
+    rows_ = [(1, "web", "Some text\nof lines", 7), (2, None, None, None), (3, "", "naïve — 日本語", 0), (3, "", "naïve — 日本語", 0), (None, "x" * 500, "y\n" * 3000, -1)]
+    docs = spark.createDataFrame(rows_, "doc_id long, source string, text string, sizes int")
+    enc, _ = op9_token_counts.encoding(RANKS, public_tokenizers.PATTERN)
+    for fields in (["source", "text"], ["source", "text", "sizes"], ["text"], ["text", "source"]):
+        expected = Counter()
+        for row in rows_:
+            own = dict(zip(docs.columns, row, strict=True))
+            parts = [("" if own[c] is None else str(own[c])) + ("\n" if k + 1 < len(fields) else "") for k, c in enumerate(fields)]
+            raw, tokens, at = [len(p.encode()) for p in parts], enc.encode_ordinary("".join(parts)), 0
+            owner, got = [k for k, n in enumerate(raw) for _ in range(n)], Counter()
+            for token in tokens:
+                got[owner[at]] += 1
+                at += len(enc.decode_single_token_bytes(token))
+            begin = 0
+            for k, p in enumerate(parts if sum(raw) else []):
+                expected[own["doc_id"], k, begin, begin + len(p), got[k], len(tokens)] += 1
+                begin += len(p)
+        found = op9_token_counts.section_tokens(docs, RANKS, public_tokenizers.PATTERN, "first", fields).collect()
+        assert Counter((r["doc_id"], r["section"], r["begin_char"], r["end_char"], r["n_tokens"], r["doc_tokens"]) for r in found) == expected
+
+
 def _components(rows, k, percent):
     fold = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     sets = []

@@ -2,11 +2,12 @@
 
 Each document is encoded once, whole, with a byte-level BPE; the bytes of its tokens are the bytes of the text, so
 running lengths give every token's span. Sections are the lines of a text (a line end belongs to the line it ends), or
-any spans that a caller gives. Token spans and section spans are both sorted, so the interval join is a binary search.
+with ``fields`` the document is these columns, each but the last ended by a line feed that belongs to it, and a section
+is a field (of some other type: its text; null: empty). Token spans and section spans are both sorted, so the interval join is a binary search.
 A token that crosses a border is allocated by rule: ``first`` to the section of its first byte, ``most`` to the section
 with most of its bytes (the earlier of equals), ``split`` to each section by its share of bytes.
 
-Null and empty texts have no sections and give no rows. Rows are independent; repeated rows give repeated results, and
+Null and empty texts have no sections and give no rows; an empty last field is a section without tokens. Rows are independent; repeated rows give repeated results, and
 further columns are ignored.
 """
 
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vialume.llm.text import spans
 
@@ -65,15 +67,21 @@ def line_borders(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], inner[inner < len(raw)], [len(raw)]])
 
 
-def section_tokens(docs: DataFrame, ranks_file: str, pattern: str, rule: str = "first") -> DataFrame:
-    """One row for each section of each row of ``docs`` (doc_id, text)."""
+def section_tokens(docs: DataFrame, ranks_file: str, pattern: str, rule: str = "first", fields: list[str] | None = None) -> DataFrame:
+    """One row for each section of each row of ``docs`` (doc_id, and text or ``fields``)."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    if fields is not None:
+        parts = [F.concat(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("" if k + 1 == len(fields) else "\n")) for k, c in enumerate(fields)]
+        docs = docs.select("doc_id", F.concat(*parts).alias("text"), F.array(*[F.octet_length(p) for p in parts]).alias("sizes"))
+    else:
+        docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, length = encoding(ranks_file, pattern)
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
+            sizes = batch.column("sizes").to_pylist() if fields is not None else None
             for lo, _, data, offsets in spans(batch):
                 out: list[tuple] = []
                 for k in range(len(offsets) - 1):
@@ -81,7 +89,7 @@ def section_tokens(docs: DataFrame, ranks_file: str, pattern: str, rule: str = "
                     if not len(raw):
                         continue
                     ends = np.cumsum(length[np.array(enc.encode_ordinary(raw.tobytes().decode()), dtype=np.int64)])
-                    borders = line_borders(raw)
+                    borders = line_borders(raw) if sizes is None else np.cumsum([0, *sizes[lo + k]])
                     counts, crossing = allocate(ends, borders, rule)
                     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[borders]
                     out.append((np.full(len(counts), lo + k), np.arange(len(counts)), chars[:-1], chars[1:], counts, crossing, np.full(len(counts), len(ends))))
@@ -89,4 +97,4 @@ def section_tokens(docs: DataFrame, ranks_file: str, pattern: str, rule: str = "
                     row, section, begin, end, counts, crossing, total = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row.tolist()], pa.int64()), pa.array(section, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(counts, pa.float64()), pa.array(crossing, pa.int64()), pa.array(total, pa.int64())], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
