@@ -9,7 +9,8 @@ Reading is general for baseline files of one interleaved scan: markers are parse
 and all segments of a batch are Huffman-decoded in step with numpy. Luminance thumbnails take the DC value of each
 block; the feature is the image size and an average hash of the thumbnail.
 
-Null texts count as empty (payload of 192 spaces). Rows are independent; repeated rows give repeated results and further
+Null texts count as empty (payload of 192 spaces). A text is handled whole, at about ten bytes of memory for each of its
+own. Rows are independent; repeated rows give repeated results and further
 columns are ignored. Files that aren't baseline JPEG raise ValueError.
 """
 
@@ -30,6 +31,8 @@ from vialume.llm.text import slices, spans
 UNIT = 192
 #: Blocks in one column of an image at most (65,535 pixels).
 MOST_ROWS = 8191
+#: Blocks whose bits are held one a byte.
+BLOCKS_AT_ONCE = 1 << 14
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
 
@@ -58,10 +61,12 @@ def encode_files(payloads: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         ends = np.cumsum(blocks)
         coded = np.insert(coded, np.repeat(ends, all_blocks - blocks), 32, axis=0)
     n = len(coded)
-    bits = np.zeros((n, 64, 9), dtype=np.uint8)
-    bits[:, :, 1:] = np.unpackbits(coded.reshape(n, 64, 1), axis=2)
     scan = np.empty((n, 74), dtype=np.uint8)
-    scan[:, :72] = np.packbits(bits.reshape(n, 576), axis=1)
+    for lo in range(0, n, BLOCKS_AT_ONCE):
+        some = coded[lo : lo + BLOCKS_AT_ONCE]
+        bits = np.zeros((len(some), 64, 9), dtype=np.uint8)
+        bits[:, :, 1:] = np.unpackbits(some.reshape(-1, 64, 1), axis=2)
+        scan[lo : lo + len(some), :72] = np.packbits(bits.reshape(-1, 576), axis=1)
     ends = np.cumsum(all_blocks)
     within = np.arange(n) - np.repeat(ends - all_blocks, all_blocks)
     scan[:, 72] = 0xFF
@@ -181,15 +186,13 @@ def decode_scans(frame: Frame, scans: list[bytes], mcus: list[int]) -> list[np.n
     data = np.frombuffer(b"".join(scans), dtype=np.uint8)
     ff = np.flatnonzero(data[:-1] == 0xFF)
     after = data[ff + 1]
-    keep = np.ones(len(data), dtype=bool)
-    keep[ff[after == 0] + 1] = False
     marks = ff[(after >= 0xD0) & (after <= 0xD9)]
-    keep[marks] = keep[marks + 1] = False
-    place = np.concatenate([[0], np.cumsum(keep)])
+    gone = np.sort(np.concatenate([ff[after == 0] + 1, marks, marks + 1]))
+    place = lambda at: at - np.searchsorted(gone, at)
     stops = np.cumsum([len(s) for s in scans])
     starts = np.concatenate([[0], stops[:-1]])
     restarts = marks[data[marks + 1] != 0xD9]
-    begin = np.sort(np.concatenate([place[starts], place[restarts + 2]]))
+    begin = np.sort(np.concatenate([place(starts), place(restarts + 2)]))
     size, of = [], []
     for k, m in enumerate(mcus):
         step = frame.interval or m
@@ -200,7 +203,7 @@ def decode_scans(frame: Frame, scans: list[bytes], mcus: list[int]) -> list[np.n
     size, order = np.array(size), frame.order
     most, per = int(size.max()), len(order)
     out = np.zeros((len(size), most * per, 64), dtype=np.int16)
-    bits = _Bits(data[keep], begin)
+    bits = _Bits(np.delete(data, gone), begin)
     last = np.zeros((len(size), len(frame.parts)), dtype=np.int64)
     for m in range(most):
         who = np.flatnonzero(size > m)
