@@ -230,6 +230,15 @@ def test_relaxation_leaves_one_table(spark):
     assert out.count() and len(set(folder.iterdir()) - before) == 1
 
 
+def test_relaxation_merges_its_tables(spark, monkeypatch):
+    """More rounds than tables that are kept, nodes lowered several times and nodes that aren't reached."""
+    monkeypatch.setattr(relax, "COMPACT_EVERY", 2)
+    e = [(k, k + 1, 1) for k in range(7)] + [(0, 7, 100), (0, 4, 50), (9, 0, 1)]
+    nodes, src = spark.range(10).withColumnRenamed("id", "node_id"), spark.createDataFrame([(0,), (5,)], "source long")
+    a, b = (sorted(map(tuple, relax.shortest(_frame(spark, e), nodes, src, m).collect())) for m in ("kernel", "relaxation"))
+    assert a == b == sorted([(0, k, k) for k in range(8)] + [(5, k, k - 5) for k in (5, 6, 7)])
+
+
 @pytest.mark.parametrize("shape", ["even", "clustered", "line", "one"])
 def test_nearest_anchor_is_brute_force(spark, shape):
     rng = random.Random(shape)

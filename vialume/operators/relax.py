@@ -8,6 +8,7 @@ executors and relaxes many sources at once with numpy. ``auto`` counts and picks
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from vialume.operators.features import parallel_min
 from vialume.plans.store import discard, materialize
 
 KERNEL_EDGES = 4_000_000
+#: Tables of lowered rows that are kept beside each other.
+COMPACT_EVERY = 8
 
 
 class Arrays:
@@ -78,20 +81,30 @@ def _by_kernel(arrays: Arrays, sources: DataFrame, kind: str) -> DataFrame:
 
 
 def _by_relaxation(edges: DataFrame, state: DataFrame, keys: list[str], name: str, rounds: int = 100_000) -> DataFrame:
-    """Rows of (keys, node_id, d) lowered along edges (u, v, w [, keys]) until nothing changes; only the last table stays."""
+    """Rows of (keys, node_id, d) lowered along edges (u, v, w [, keys]) until nothing changes.
+
+    A round writes only the rows that it lowers; each ``COMPACT_EVERY`` rounds these are merged into one table of all rows,
+    and at the end, when that table alone stays.
+    """
     edges = materialize(edges.repartition("u"), f"{name}-edges")
-    on_edges = [k for k in keys if k in edges.columns]
-    none = F.lit(None).cast(state.schema["d"].dataType)
-    frontier = state = last = materialize(state.select(*keys, "node_id", "d"), f"{name}-0")
+    on_edges, at = [k for k in keys if k in edges.columns], [*keys, "node_id"]
+    least = lambda tables: reduce(DataFrame.unionByName, tables).groupBy(*at).agg(F.min("d").alias("d"))
+    frontier = materialize(state.select(*at, "d"), f"{name}-0")
+    tables = [frontier]
     for r in range(1, rounds + 1):
         step = frontier.withColumnRenamed("node_id", "u").join(edges, ["u", *on_edges]).groupBy(*keys, F.col("v").alias("node_id")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
-        both = state.join(step, [*keys, "node_id"], "full").select(*keys, "node_id", F.least("d", "new").alias("d"), (F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.coalesce("d", none)))).alias("moved"))
-        both = materialize(both, f"{name}-{r}")
-        discard(last)
-        frontier, state, last = both.filter("moved").drop("moved"), both.drop("moved"), both
-        if frontier.isEmpty():
-            discard(edges)
-            return state
+        known = least([t.join(step.select(*at), at, "left_semi") for t in tables])
+        moved = step.join(known, at, "left").filter("d IS NULL OR new < d").select(*at, F.col("new").alias("d"))
+        frontier = materialize(moved, f"{name}-{r}")
+        done = frontier.isEmpty()
+        tables.append(frontier)
+        if done or len(tables) > COMPACT_EVERY:
+            merged = materialize(least(tables), f"{name}-{r}-all")
+            if done:
+                discard(edges, *tables)
+                return merged
+            discard(*tables[:-1])
+            tables = [merged, frontier]  # the next round reads the frontier
     raise ValueError("negative cycle")
 
 
@@ -122,7 +135,8 @@ def repair_potentials(reduced: DataFrame, nodes: DataFrame, method: str = "auto"
     Raises ValueError if reduced weights hold a negative cycle (weights made from one potential can't).
     """
     merged = reduced.groupBy("target_id", "u", "v").agg(F.min("w_red").alias("w"))
-    if method != "relaxation" and merged.count() <= KERNEL_EDGES and nodes.count() <= KERNEL_EDGES:
+    most = 0 if method == "relaxation" else merged.groupBy("target_id").count().agg(F.max("count")).first()[0] or 0
+    if method != "relaxation" and most <= KERNEL_EDGES and nodes.count() <= KERNEL_EDGES:  # a task holds one target's edges
         ids = np.sort(nodes.select("node_id").toPandas()["node_id"].to_numpy())
         shared = nodes.sparkSession.sparkContext.broadcast(ids)
 
