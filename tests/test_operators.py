@@ -239,6 +239,17 @@ def test_relaxation_merges_its_tables(spark, monkeypatch):
     assert a == b == sorted([(0, k, k) for k in range(8)] + [(5, k, k - 5) for k in (5, 6, 7)])
 
 
+def test_cuts_that_hold_all_change_nothing(spark, tiny):
+    q = spark.createDataFrame([(0, "a", 0, 3, "N/A"), (1, "b", 1, 3, "N/A"), (2, "c", 3, 2, "N/A")], "query_id long, nome string, source long, target long, fascia string")
+    from vialume.plans import comparisons
+
+    own = comparisons.explored(tiny, q)
+    cut = comparisons.explored_with_cut(tiny, q, 1e5)
+    assert {r["pct_grafo_originale"] for r in cut.collect()} == {100.0}
+    rows_ = lambda df: sorted(map(tuple, df.select(own.columns).collect()))
+    assert rows_(cut) == rows_(own) and len(rows_(own)) == 3
+
+
 @pytest.mark.parametrize("shape", ["even", "clustered", "line", "one"])
 def test_nearest_anchor_is_brute_force(spark, shape):
     rng = random.Random(shape)

@@ -538,7 +538,7 @@ def wall_clock(g):
 
 @query
 def precision_benchmark(g):
-    return comparisons.precision_benchmark(g, _pairs(g, 1))
+    return comparisons.precision_benchmark(g, _pairs(g, 10))
 
 
 @query
@@ -627,16 +627,16 @@ def json_model_prediction(g):
 
 @query
 def explored_comparison(g):
-    return comparisons.explored(g, _pairs(g, 3)).drop("query_id")
+    return comparisons.explored(g, _pairs(g, 100)).drop("query_id")
 
 
 @query
 def explored_comparison_cut(g):
-    return comparisons.explored_with_cut(g, _pairs(g, 1), 20.0).drop("query_id")
+    return comparisons.explored_with_cut(g, _pairs(g, 3), 20.0).drop("query_id")
 
 
 def _two_models(g: Graph) -> DataFrame:
-    q = _pairs(g, 2)
+    q = _pairs(g, 30)
     t = q.select(F.col("target").alias("target_id")).distinct()
     return comparisons.models(g, q, {"v130": potentials.analytic(g.nodes, t), "v1000": potentials.analytic(g.nodes, t, V_MAX)})
 
@@ -648,7 +648,7 @@ def model_comparison(g):
 
 @query
 def static_vs_traffic(g):
-    return comparisons.static_vs_traffic(g, traffic.reweight(g, [(LAT, LON)], seed=42), _pairs(g, 2)).drop("query_id")
+    return comparisons.static_vs_traffic(g, traffic.reweight(g, [(LAT, LON)], seed=42), _pairs(g, 30)).drop("query_id")
 
 
 @query
