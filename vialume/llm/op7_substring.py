@@ -22,7 +22,7 @@ Texts are shuffled once; the two joins share that exchange. Only the counters (4
 
 Null texts have no words. Null doc_ids come before all others. Rows with the same doc_id and text occupy the same places,
 so neither removes the other; rows with the same doc_id and other texts are ordered by the texts' 64-bit hashes. A text is
-handled whole, at about ten bytes of memory for each of its own; texts of some 100 MB need larger executors. Empty tables
+handled whole, at some 30 bytes of memory for each of its own; texts of some 40 MB need larger executors. Empty tables
 give empty results. Further columns stay as they are in ``dedup`` and are ignored in ``digests``.
 """
 
