@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame as Classic
 
 from vialume import queries
-from vialume.operators import relax, search
+from vialume.operators import components, relax, search
 from vialume.sources import graphs
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +58,88 @@ def test_exhaustive_search_beyond_a_task(spark, monkeypatch):
     assert [rows(heuristic=h) for h in (True, False)] == small
 
 
+def _regions(spark):
+    """Three components, one of them a cycle with parallel ways, and a node without edges."""
+    edges = spark.createDataFrame([(0, 1, 4), (1, 2, 3), (0, 2, 9), (2, 0, 1), (10, 11, 2), (11, 12, 2), (10, 12, 3), (12, 13, 5), (21, 20, 7)], "u long, v long, w long")
+    nodes = spark.createDataFrame([(k, 45.0 + k / 100, 11.0 + k % 3 / 50) for k in (0, 1, 2, 5, 10, 11, 12, 13, 20, 21)], "node_id long, y double, x double")
+    return edges, nodes
+
+
+def _beyond(monkeypatch, most: int):
+    """Graphs of more than ``most`` edges are too large for a task; their components aren't."""
+    monkeypatch.setattr(relax.fits, "__defaults__", (most,))
+
+
+def _never(*a, **b):
+    raise AssertionError("this form isn't wanted here")
+
+
+def test_components(spark):
+    edges, _ = _regions(spark)
+    found = {r["node_id"]: r["component"] for r in components.components(edges).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 10: 10, 11: 10, 12: 10, 13: 10, 20: 20, 21: 20}
+
+
+def test_components_of_random_graphs():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 40, 300):
+        u, v = rng.integers(0, n, n // 2 + 1), rng.integers(0, n, n // 2 + 1)
+        label = {int(k): int(k) for k in np.unique([u, v])}
+        while any(label[int(a)] != label[int(b)] for a, b in zip(u, v, strict=True)):
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                label[a] = label[b] = min(label[a], label[b])
+        ids, root = components.stars(u, v)
+        assert dict(zip(ids.tolist(), root.tolist(), strict=True)) == label
+
+
+@pytest.mark.parametrize("mode", search.MODES)
+@pytest.mark.parametrize("learned", [False, True])
+def test_search_by_components(spark, monkeypatch, mode, learned):
+    edges, nodes = _regions(spark)
+    asked = spark.createDataFrame([(1, 0, 2), (2, 1, 0), (3, 10, 13), (4, 13, 10), (5, 0, 13), (6, 5, 5), (7, 5, 0), (8, 21, 20), (9, 12, 77)], "query_id long, source long, target long")
+    p = nodes.select("node_id").crossJoin(spark.createDataFrame([(2,), (13,)], "target_id long")).selectExpr("target_id", "node_id", "double(-(node_id * 7 % 5)) AS y_hat")
+    rows = lambda: sorted(map(str, search.search(edges, nodes, asked, mode, heuristic=learned, potentials=p if learned else None).collect()))
+    small = rows()
+    _beyond(monkeypatch, 5)
+    assert rows() == small
+
+
+def test_distances_by_components(spark, monkeypatch):
+    edges, nodes = _regions(spark)
+    sources = spark.createDataFrame([(0,), (10,), (5,), (21,)], "source long")
+    rows = lambda: sorted(map(tuple, relax.shortest(edges, nodes, sources).collect()))
+    small = rows()
+    _beyond(monkeypatch, 5)
+    monkeypatch.setattr(relax, "_by_relaxation", _never)
+    assert rows() == small
+
+
+def test_repair_by_components(spark, monkeypatch):
+    _, nodes = _regions(spark)
+    reduced = spark.createDataFrame([(t, u, v, 0, w + t) for t in (0, 1) for u, v, w in [(0, 1, -4), (1, 2, 3), (0, 2, -2), (2, 0, 6), (10, 11, -2), (11, 12, 2), (10, 12, -3), (21, 20, -7)]], "target_id long, u long, v long, key long, w_red long")
+    rows = lambda: sorted(map(tuple, relax.repair_potentials(reduced, nodes).collect()))
+    small = rows()
+    assert len(small) == 20 and min(r[2] for r in small) < 0
+    monkeypatch.setattr(relax, "KERNEL_EDGES", 7)
+    monkeypatch.setattr(relax, "_by_relaxation", _never)
+    assert rows() == small
+
+
+@pytest.mark.parametrize("name", ["dijkstra_explored_repaired", "dijkstra_repaired_distance"])
+def test_repaired_search_deals_edges_once(spark, monkeypatch, name):
+    monkeypatch.setattr(queries.potentials, "repaired_edges", _never)  # has all edges for each target
+    assert queries.QUERIES[name](spark, SF).count() == 30
+
+
+@pytest.mark.parametrize("name", ["dataset_ring_advanced", "astar_learned", "dijkstra_explored_kernel"])
+def test_beyond_a_task_by_components(spark, monkeypatch, name):
+    rows = lambda: sorted(map(str, queries.QUERIES[name](spark, SF).collect()))
+    small = rows()
+    _beyond(monkeypatch, 300)
+    monkeypatch.setattr(relax, "_by_relaxation", _never)
+    assert rows() == small
+
+
 def test_graphml_with_one_attribute_each(spark, tmp_path):
     (tmp_path / "one.graphml").write_text('''<graphml>
 <key id="d0" for="node" attr.name="y" attr.type="string"/>
