@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame as Classic
@@ -140,6 +142,18 @@ def test_beyond_a_task_by_components(spark, monkeypatch, name):
     assert rows() == small
 
 
+def test_store_holds_what_edges_are_made_of(spark):
+    g, derived = queries.graph_store(spark, SF), graphs.from_tables(spark, SF)
+    assert spark.read.parquet(*g.edges.inputFiles()).columns == ["u", "v", "key", "travel_time"]
+    assert g.edges.schema.simpleString() == derived.edges.schema.simpleString()
+    assert g.edges.exceptAll(derived.edges).isEmpty() and derived.edges.exceptAll(g.edges).isEmpty()
+
+
+def test_keys_are_numbered_where_edges_are_joined(spark):
+    plan = graphs.from_tables(spark, SF).edges._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(u#" in plan and not re.search(r"hashpartitioning\(u#\d+L?, v#", plan)
+
+
 def test_graphml_with_one_attribute_each(spark, tmp_path):
     (tmp_path / "one.graphml").write_text('''<graphml>
 <key id="d0" for="node" attr.name="y" attr.type="string"/>
