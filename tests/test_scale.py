@@ -6,10 +6,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame as Classic
 
 from vialume import queries
-from vialume.operators import components, relax, search
+from vialume.operators import components, cuts, relax, search
+from vialume.plans import comparisons
 from vialume.sources import graphs
 
 SF = "/root/testdata/sf0.001"
@@ -168,3 +170,20 @@ def test_graphml_with_one_attribute_each(spark, tmp_path):
     g = graphs.read_graphml(spark, f"file://{tmp_path}/one.graphml")
     assert sorted(tuple(r) for r in g.nodes.select("node_id", "y").collect()) == [(1, 45.5), (2, 45.25)]
     assert sorted(tuple(r) for r in g.edges.select("u", "v", "key", "travel_time").collect()) == [(1, 2, 0, 2.5), (2, 1, 0, 3.0)]
+
+
+def test_cuts_of_all_queries_in_one_set_of_jobs(spark, monkeypatch):
+    g, padding = queries.graph_store(spark, SF), 20.0
+    asked = spark.createDataFrame([(5, "a", 3, 7, "N/A"), (9, "b", 11, 7, "N/A")], "query_id long, nome string, source long, target long, fascia string")
+    columns = ["query_id", "nodi_sanato", "n_negativi", "max_violazione", "trovato", "n_nodi_sottografo"]
+    each = []
+    for q in asked.collect():
+        cut = cuts.ensure_target(cuts.ellipse_cut(g, q["source"], q["target"], padding), g, q["target"])
+        one = comparisons.explored(cut, asked.filter(f"query_id = {q['query_id']}")).withColumn("n_nodi_sottografo", F.lit(cut.nodes.count()))
+        each += map(tuple, one.select(columns).collect())
+    monkeypatch.setattr(comparisons, "ellipse_cut", _never)  # a graph, and so jobs, for each query
+    monkeypatch.setattr(comparisons, "explored", _never)
+    rows = lambda: sorted(map(tuple, comparisons.explored_with_cut(g, asked, padding).select(columns).collect()))
+    assert len(each) == 2 and rows() == sorted(each)
+    monkeypatch.setattr(comparisons, "repaired_search", lambda *a: None)  # as if a component were too large for a task
+    assert rows() == sorted(each)
