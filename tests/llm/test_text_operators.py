@@ -693,6 +693,23 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == expected
 
 
+def test_small_partitions_share_tasks(spark):
+    """Labels are written in few tasks, however many shuffle partitions there are."""
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = components(spark.range(3000).selectExpr("id AS a", "id - id % 3 AS b").filter("a <> b"))
+        files = len(found.inputFiles())
+        roots = {r["node"]: r["root"] for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roots == {n: n - n % 3 for n in range(3000)}
+    assert files <= 8 * spark.sparkContext.defaultParallelism
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7), (100, 101)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))

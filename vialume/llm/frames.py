@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+#: Tasks for each core in a stage over small rows.
+TASKS_A_CORE = 8
+
+
+def in_few_tasks(rows: DataFrame) -> DataFrame:
+    """The same rows, partitions handled one after another in at most ``TASKS_A_CORE`` tasks a core: for small rows, of which
+    many shuffle partitions cost more to start and to write than to work on. No rows move, and partitions stay as they are dealt."""
+    return rows.coalesce(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def own_names(docs: DataFrame, known: tuple[str, ...] = KNOWN) -> tuple[DataFrame, list[str]]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vialume.llm.counters import slots, tally
-from vialume.llm.frames import own_names
+from vialume.llm.frames import in_few_tasks, own_names
 from vialume.llm.graph import components
 from vialume.llm.store import materialize
 from vialume.llm.text import Words, mix, spans
@@ -386,7 +386,7 @@ def _blocked(members: DataFrame, compare, groups: int, size: int, name: str) ->
     first = materialize(compare(single.unionByName(own.drop("own")).unionByName(pivots.drop("own"))), f"{name}-first")
 
     roots = components(first, name).select(F.col("node").alias("of_no"), "root")
-    many = materialize(many.join(roots, F.col("no") == F.col("of_no"), "left").withColumn("label", F.coalesce("root", "no")).drop("of_no", "root"), f"{name}-labelled")
+    many = materialize(many.join(roots, F.col("no") == F.col("of_no"), "left").withColumn("label", F.coalesce("root", "no")).drop("of_no", "root").transform(in_few_tasks), f"{name}-labelled")
     parts = many.groupBy("of", "blocks", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("of", "blocks")
     parts = parts.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / size).cast("int").alias("rests")).filter("rests > 0")
     parts = parts.withColumn("in_own", F.explode(F.sequence(one * 0, F.col("blocks") - 1))).select(F.col("of").alias("in_of"), "in_own", "main", "rests")
@@ -427,13 +427,14 @@ def _linked(docs: DataFrame, shingle: int, percent: int, few: int = FEW, keyed:
     postings = prefixes.mapInArrow(_postings(groups, crowd, False), "group int, gram binary, no binary, n binary, pos binary")
     met = materialize(postings.groupBy("group").applyInArrow(_candidates(percent, few), "a long, b long, gram long, n int, pos int"), "jaccard-met")
     side = lambda s: classes.select(F.col("no").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
-    pairs = met.filter("b IS NOT NULL").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_filter(percent), "a long, b long")
+    pairs = in_few_tasks(in_few_tasks(met.filter("b IS NOT NULL").select("a", "b").distinct()).join(side("a"), "a")).join(side("b"), "b")
+    pairs = in_few_tasks(pairs).mapInArrow(_sketch_filter(percent), "a long, b long")
 
     crowded = prefixes.mapInArrow(_postings(groups, crowd, True), "gram long, no long, n int, pos int")
     counts = crowded.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("gram").alias("in_gram"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     crowded = crowded.join(counts, (F.col("gram") == F.col("in_gram")) & (F.pmod(F.xxhash64("no"), F.lit(SALTS)) == F.col("salt"))).select("gram", "no", "n", "pos", "blocks")
     often = met.filter("b IS NULL").select("gram", F.col("a").alias("no"), "n", "pos", F.lit(1).alias("blocks")).unionByName(crowded)
-    often = materialize(often.withColumnRenamed("gram", "of"), "jaccard-often")
+    often = materialize(in_few_tasks(often.withColumnRenamed("gram", "of")), "jaccard-often")
     sketches = classes.select(F.col("no").alias("of_no"), "parity")
     sketched = lambda units: units.join(sketches, F.col("no") == F.col("of_no")).drop("of_no").groupBy("bucket", "lo", "hi").applyInArrow(_frequent(percent), "a long, b long")
     pairs = pairs.union(_blocked(often, sketched, groups, BLOCK, "jaccard-often"))
@@ -441,12 +442,12 @@ def _linked(docs: DataFrame, shingle: int, percent: int, few: int = FEW, keyed:
 
     nodes = near.join(classes.select("no", "key", "pick", "n"), F.col("node") == F.col("no"))
     sizes = nodes.groupBy(F.col("comp").alias("in_comp")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / UNIT_CLASSES, F.sum("n") / UNIT_GRAMS)).cast("int").alias("blocks"))
-    nodes = materialize(nodes.join(sizes, F.col("comp") == F.col("in_comp")).select(F.col("comp").alias("of"), "no", "key", "pick", "blocks"), "jaccard-nodes")
+    nodes = materialize(in_few_tasks(nodes.join(sizes, F.col("comp") == F.col("in_comp")).select(F.col("comp").alias("of"), "no", "key", "pick", "blocks")), "jaccard-nodes")
 
     def verified(units: DataFrame) -> DataFrame:
         per = units.groupBy("no", "key", "pick").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
         named = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-        found = _chosen(named, per.select("pick")).join(per.hint("shuffle_merge"), F.col("doc_id") == F.col("pick")).select("text", "no", "key", "units")
+        found = in_few_tasks(_chosen(named, per.select("pick")).join(per.hint("shuffle_merge"), F.col("doc_id") == F.col("pick")).select("text", "no", "key", "units"))
         sets = found.mapInArrow(_sets(shingle), "bucket long, lo int, hi int, side int, of long, label long, no long, grams binary")
         return sets.groupBy("bucket", "lo", "hi").applyInArrow(_verified(percent), "a long, b long")
 

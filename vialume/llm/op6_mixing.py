@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vialume.llm.frames import own_names
+from vialume.llm.frames import in_few_tasks, own_names
 from vialume.llm.store import materialize
 
 #: A maximal run of other characters than space, tab, line feed, vertical tab, form feed and carriage return.
@@ -121,9 +121,9 @@ def _planned(docs: DataFrame, most_repeats: int = 3, tilts: tuple[float, float,
         got = pick.select(F.col("source").alias("in_source"), F.col("pick.offset").alias("at"), F.col("pick.size").alias("got"))
         short = short.join(got, F.col("source").eqNullSafe(F.col("in_source")), "left").select("source", (F.col("short") - F.coalesce("got", F.lit(0))).alias("short"), F.coalesce("got", "below").alias("below"))
         picks = got if picks is None else picks.unionByName(got)
-    picks = materialize(picks, "mix-picks")
+    picks = materialize(in_few_tasks(picks), "mix-picks")
     mine = F.col("source").eqNullSafe(F.col("in_source")) & (F.col("offset") == F.col("at")) & (F.col("size") == F.col("got"))
-    again = materialize(_replanned(rows, short), "mix-again")
+    again = materialize(in_few_tasks(_replanned(rows, short)), "mix-again")
     rows = rows.join(picks, mine, "left").join(again, F.col("source").eqNullSafe(F.col("again_source")), "left")
     rows = rows.withColumn("anew", F.col("taken_large").isNotNull()).withColumn("last", F.col("at").isNotNull() & ~F.col("anew"))
 

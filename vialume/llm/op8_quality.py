@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vialume.llm.counters import tally
-from vialume.llm.frames import own_names
+from vialume.llm.frames import in_few_tasks, own_names
 from vialume.llm.store import discard, materialize
 from vialume.llm.text import IS_WORD, Words, mix, spans
 
@@ -292,7 +292,7 @@ def scored(docs: DataFrame, most: int = MODEL_ENTRIES) -> DataFrame:
 def bands(values: DataFrame, reach: float = REACH, above: float = REACH_ABOVE) -> DataFrame:
     """(of_lang, of_power, low, high): for each language and power of two of bytes, from counts of value bins."""
     bins = values.filter("value IS NOT NULL").groupBy("lang", _power().alias("power"), F.floor(F.col("value") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    bins = materialize(bins, "quality-bins")
+    bins = materialize(in_few_tasks(bins), "quality-bins")
     near = bins.withColumn("power", F.explode(F.array(*[F.col("power") + k for k in (-1, 0, 1)])))
     found = _quartiles(bins, "0", "lang", "power").join(_quartiles(near, "1", "lang", "power"), F.col("lang_0").eqNullSafe(F.col("lang_1")) & (F.col("power_0") == F.col("power_1")))
     found = found.join(_quartiles(bins, "2", "lang"), F.col("lang_0").eqNullSafe(F.col("lang_2"))).crossJoin(F.broadcast(_quartiles(bins, "3")))
