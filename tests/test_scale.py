@@ -155,6 +155,13 @@ def test_all_centres_in_one_set_of_jobs(spark, monkeypatch):
     assert len(found) > 100 and found == sorted(sum(each, [])) and len(asked) == 1
 
 
+def test_regional_set_asks_for_distances_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(datasets, "shortest_to", lambda *a: asked.append(1) or relax.shortest_to(*a))
+    queries.QUERIES["dataset_regional"](spark, SF)
+    assert len(asked) == 1
+
+
 def test_features_read_the_edges_of_sampled_nodes(spark, monkeypatch):
     g, whole, seen = queries.graph_store(spark, SF), datasets.advanced_features, []
     nodes = g.nodes.limit(2).select("node_id").collect()
