@@ -57,7 +57,7 @@ def test_compact_types():
     assert g.known(np.array([0, 1, 5, 7, 9, 11])).tolist() == [False, True, True, False, True, False]
 
 
-@pytest.mark.parametrize("name", ["dataset_ring", "dataset_unified", "dataset_ring_advanced", "dataset_regional", "dataset_standard", "dijkstra_explored_kernel", "astar_learned", "astar_exhaustive_kernel"])
+@pytest.mark.parametrize("name", ["dataset_ring", "dataset_unified", "dataset_ring_advanced", "dataset_regional", "dataset_standard", "dijkstra_explored_kernel", "astar_learned", "astar_exhaustive_kernel", "dijkstra_explored_repaired", "dijkstra_repaired_distance", "explored_comparison_cut"])
 def test_one_large_component(spark, monkeypatch, name):
     """The graph is one component of more edges than a task holds as a frame: traces were refused and distances went by rounds."""
     rows = lambda: sorted(map(str, queries.QUERIES[name](spark, SF).collect()))
@@ -69,6 +69,7 @@ def test_one_large_component(spark, monkeypatch, name):
     monkeypatch.setattr(relax.fits, "__defaults__", (5,))
     monkeypatch.setattr(relax, "KERNEL_EDGES", 5)
     monkeypatch.setattr(search, "KERNEL_EDGES", 5)
+    monkeypatch.setattr(search, "for_each_component", never)
     monkeypatch.setattr(relax, "_by_relaxation", never)
     assert small and rows() == small
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from vialume import queries
-from vialume.operators import boosting
+from vialume.operators import boosting, sampling
 from vialume.plans import datasets, learning
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +36,11 @@ def test_training_has_all_rounds_and_targets(spark, monkeypatch, name, rows, siz
     assert (sampled["per_band"], sampled["per_pair"]) == sizes
 
 
+def test_cuts_of_all_pairs(spark, monkeypatch):
+    asked = _spied(monkeypatch, sampling, "pairs_by_band")
+    assert queries.QUERIES["explored_comparison_cut"](spark, SF).groupBy("fascia").count().filter("count > 50").count() and asked["n"] == 100
+
+
 def test_boosting_in_one_task_is_that_of_rounds(spark, monkeypatch):
     """Few values a column, so that both forms choose among the same splits."""
     rows = spark.range(240).selectExpr("id AS row_id", "id AS node_id", "id % 11 / 1.0D AS x", "id % 7 / 1.0D AS z", "id % 11 * 3.7D + id % 7 * (id % 11) + id % 5 / 9.0D AS tempo_reale_s")
