@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import inspect
+import time
 
 import numpy as np
 import pytest
 
 from vialume import queries
-from vialume.operators import boosting, sampling
+from vialume.operators import boosting, potentials, sampling
 from vialume.plans import datasets, learning
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,25 @@ def test_thresholds_part_neighbouring_values():
     x = np.array([1.0, np.nextafter(np.float32(1), np.float32(2)), 3.0, 3.0, np.nan], np.float32)
     cuts = boosting.thresholds(x)
     assert len(cuts) == 2 and [int(b) for b in np.searchsorted(cuts, np.unique(x[:4]), side="right")] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("shape", ["even", "lattice", "twice"])
+def test_triangles_by_walking(shape):
+    rng = np.random.default_rng(5)
+    points = {"even": rng.random((700, 2)), "lattice": np.column_stack([np.arange(600) * 7919 % 601, np.arange(600) * 6151 % 607]) / 60.0, "twice": np.repeat(rng.random((200, 2)), 2, axis=0)}[shape]
+    found = potentials._triangulate_walking(points)
+    area = lambda points, t: np.abs((points[t[:, 1], 0] - points[t[:, 0], 0]) * (points[t[:, 2], 1] - points[t[:, 0], 1]) - (points[t[:, 1], 1] - points[t[:, 0], 1]) * (points[t[:, 2], 0] - points[t[:, 0], 0])).sum()
+    once = np.unique(points, axis=0) if shape == "twice" else points
+    plain = potentials.triangulate(once)
+    if shape == "even":
+        assert sorted(map(sorted, found.tolist())) == sorted(map(sorted, plain.tolist()))
+    assert abs(area(points, found) - area(once, plain)) < 1e-6 * area(once, plain) and abs(len(found) - len(plain)) <= (0 if shape == "even" else 4)
+
+
+def test_more_anchors_than_were_allowed():
+    n = 120_000
+    points = np.column_stack([np.arange(n) * 10 * 7919 % 10007 / 10007, np.arange(n) * 10 * 6151 % 10009 / 10009]) * 0.6 + 45
+    assert n <= potentials.MOST_ANCHORS
+    began = time.perf_counter()
+    tri = potentials.triangulate(points)
+    assert 2 * n - 2000 < len(tri) < 2 * n and time.perf_counter() - began < 120
