@@ -18,7 +18,7 @@ def _random(rng, n: int, m: int, low: int, high: int, spread: int = 1) -> tuple[
     e = pd.DataFrame({"u": rng.integers(0, n, m) * spread, "v": rng.integers(0, n, m) * spread, "w": rng.integers(low, high, m)}).query("u != v").groupby(["u", "v"], as_index=False).w.min()
     e = e.sample(frac=1, random_state=int(rng.integers(1 << 30)))
     ids = np.arange(0, n, 2) * spread
-    return Compact.of([ids], [pa.Table.from_pandas(e.iloc[k::3], preserve_index=False) for k in range(3)]), search.Adjacency(*(e[c].to_numpy() for c in "uvw")), e
+    return Compact.of([ids], tuple(pa.Table.from_pandas(e.iloc[k::3], preserve_index=False) for k in range(3))), search.Adjacency(*(e[c].to_numpy() for c in "uvw")), e
 
 
 @pytest.mark.parametrize("low,high", [(0, 3), (1, 9), (5, 40_000), (0, 1)])
@@ -51,9 +51,9 @@ def test_compact_lowers_negative_edges():
 
 
 def test_compact_types():
-    g = Compact.of([np.array([9])], [pa.table({"u": [1, 5], "v": [5, 1], "w": [40_000, 2]})])
+    g = Compact.of([np.array([9])], (pa.table({"u": [1, 5], "v": [5, 1], "w": [40_000, 2]}),))
     assert g.ids.tolist() == [1, 5, 9] and g.w.dtype == np.int32 and g.start.tolist() == [0, 1, 2, 2]
-    assert Compact.of([], [pa.table({"u": [1], "v": [5], "w": [0.5]})]).distances(0).tolist() == [0.0, 0.5]
+    assert Compact.of([], (pa.table({"u": [1], "v": [5], "w": [0.5]}),)).distances(0).tolist() == [0.0, 0.5]
     assert g.known(np.array([0, 1, 5, 7, 9, 11])).tolist() == [False, True, True, False, True, False]
 
 
